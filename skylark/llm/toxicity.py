@@ -2,7 +2,8 @@
 of the categories before it.
 
 The models are fitted on a bounded sample of labelled rows. For training, the earlier probabilities are out of fold: each row's come from models that haven't
-seen it. Features are the presence of words, chosen per category by a chi-squared statistic on the rows a model is fitted on.
+seen it. Features are the presence of words and of word beginnings (which inflected and compound words share), chosen per category by a chi-squared
+statistic on the rows a model is fitted on.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -22,19 +24,33 @@ from skylark.llm.linear import folds, logistic, sigmoid, with_one
 
 #: Labelled rows that the models are fitted on: at most about so many of the first category, and of the rest.
 SAMPLE_EACH = 2000
-#: Words of a model.
-WORDS = 60
+#: Words and beginnings of a model.
+WORDS = 150
+#: Bytes of a word's beginnings.
+BEGINNINGS = (4, 5, 6, 7)
+#: Words whose features a worker remembers; then it starts afresh.
+REMEMBERED = 200_000
 #: Labelled documents that a word must occur in.
 MIN_DOCUMENTS = 4
 FOLDS = 5
 RIDGE = 0.3
-THRESHOLD = 0.5
+THRESHOLD = 0.35
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
+def distinct_words(text: str | None) -> set[str]:
+    """The words of the whole text, lower-cased."""
+    return set(TOKEN.findall((text or "").lower()))
+
+
+def keys_of(word: str) -> list[int]:
+    """A 64-bit key of the word, and one of each of its beginnings."""
+    b = word.encode("utf-8", "surrogatepass")
+    return [xxhash.xxh64_intdigest(b), *(n << 56 | int.from_bytes(b[:n], "big") for n in BEGINNINGS if len(b) >= n)]
+
+
 def word_keys(text: str | None) -> list[int]:
-    """Hashes of the distinct words of the whole text, lower-cased."""
-    return [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in set(TOKEN.findall((text or "").lower()))]
+    return list({k for w in distinct_words(text) for k in keys_of(w)})
 
 
 @dataclass
@@ -100,22 +116,36 @@ def fit_chain(keys: list[np.ndarray], y: np.ndarray, words: int = WORDS, ridge:
     return chain
 
 
-def predict_chain(chain: list[Link], texts: list[str | None]) -> np.ndarray:
-    """Probabilities: a row per text, a column per category."""
-    vocabulary = {int(k): i for i, k in enumerate(sorted({int(k) for link in chain for k in link.words}))}
-    present = np.zeros((len(texts), len(vocabulary)))
-    for r, t in enumerate(texts):
-        for k in word_keys(t):
-            if (at := vocabulary.get(k)) is not None:
-                present[r, at] = 1
-    earlier = np.zeros((len(texts), 0))
-    for link in chain:
-        odds = link.odds(present[:, [vocabulary[int(k)] for k in link.words]], earlier)
-        earlier = np.hstack([earlier, np.clip(odds, -8, 8)[:, None]])
-    return sigmoid(earlier)
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], each: int, text: str, doc_id: str, seed: int) -> list:
+class Predictor:
+    """A chain applied to texts, with the features of the words met so far."""
+
+    def __init__(self, chain: list[Link]):
+        self.chain = chain
+        self.vocabulary = {k: i for i, k in enumerate(sorted({int(k) for link in chain for k in link.words}))}
+        self.places = [[self.vocabulary[int(k)] for k in link.words] for link in chain]
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def features(self, word: str) -> tuple[int, ...]:
+        found = self.known[word] = tuple(at for k in keys_of(word) if (at := self.vocabulary.get(k)) is not None)
+        return found
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        """Probabilities: a row per text, a column per category."""
+        present = np.zeros((len(texts), len(self.vocabulary)))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        for r, t in enumerate(texts):
+            for w in distinct_words(t):
+                at = self.known.get(w)
+                for k in self.features(w) if at is None else at:
+                    present[r, k] = 1
+        earlier = np.zeros((len(texts), 0))
+        for link, places in zip(self.chain, self.places, strict=True):
+            earlier = np.hstack([earlier, np.clip(link.odds(present[:, places], earlier), -8, 8)[:, None]])
+        return sigmoid(earlier)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], each: int, text: str, doc_id: str, seed: int) -> pd.DataFrame:
     """Rows (words, categories) of about `each` labelled documents with the first category and as many without."""
     order = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(1 << 40))
     once = labels.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(*[F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(c) for c in categories])
@@ -125,15 +155,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], e
     few = once.where(order < share)  # of a bounded size: about twice `each`
     keys = F.arrow_udf(lambda v: pa.array([np.array(word_keys(t), np.uint64).view(np.int64).tolist() for t in v.to_pylist()], pa.list_(pa.int64())), "array<long>")
     rows = docs.where(F.col(text).isNotNull()).join(F.broadcast(few), doc_id).select(F.col(doc_id).alias("doc_id"), keys(F.col(text)).alias("words"), *categories)
-    return sorted(rows.collect(), key=lambda r: (r.doc_id, sorted(r.words)))
+    return rows.toPandas().assign(n=lambda t: t["words"].map(len)).sort_values(["doc_id", "n"], kind="stable")
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], each: int = SAMPLE_EACH, text: str = "text", doc_id: str = "doc_id", seed: int = 3) -> list[Link]:
     """The chain for labels' 0/1 columns `categories`, in this order. Rows without id, text or label are no use; several labels of an id count as the highest."""
     small_batches(docs.sparkSession)
     rows = labelled_sample(docs.select(doc_id, text), labels, categories, each, text, doc_id, seed)
-    y = np.array([[r[c] for c in categories] for r in rows], float).reshape(len(rows), len(categories))
-    return fit_chain([np.array(r.words, np.int64).view(np.uint64) for r in rows], y)
+    return fit_chain([np.asarray(w, np.int64).view(np.uint64) for w in rows["words"]], rows[categories].to_numpy(float))
 
 
 def probabilities(text: Column, chain: list[Link], categories: list[str]) -> Column:
@@ -142,8 +171,9 @@ def probabilities(text: Column, chain: list[Link], categories: list[str]) -> Col
 
     @F.arrow_udf(", ".join(f"{n} double" for n in names))
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        predictor = Predictor(chain)
         for batch in batches:
-            p = predict_chain(chain, batch.to_pylist())
+            p = predictor(batch.to_pylist())
             yield pa.StructArray.from_arrays([pa.array(p[:, k]) for k in range(len(names))], names)
 
     return predict(text)
