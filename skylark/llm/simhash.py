@@ -67,18 +67,21 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def segment_counts(fp: Column, segment_bits: int = SEGMENT_BITS) -> list[Column]:
-    """Number of one-bits of each segment, from the lowest."""
-    mask = F.lit((1 << segment_bits) - 1)
-    return [F.bit_count(F.shiftrightunsigned(fp, at).bitwiseAND(mask)).cast("long") for at in range(0, BITS, segment_bits)]
+def segment_counts(fp: Column) -> Column:
+    """The embedding: bit counts of the 16 segments of four bits, each in the segment's own four bits of a long."""
 
+    bits = [F.shiftrightunsigned(fp, k).bitwiseAND(F.lit(0x1111111111111111)) for k in range(SEGMENT_BITS)]
+    return bits[0] + bits[1] + bits[2] + bits[3]
 
-def packed(counts: list[Column]) -> Column:
-    """The vector of counts as one long of four bits each; all counts are at most 4."""
-    cell = F.lit(0).cast("long")
-    for k, c in enumerate(counts):
-        cell = cell.bitwiseOR(F.shiftleft(c, 4 * k))
-    return cell
+
+def ball(vec: Column) -> Column:
+    """The vector and those of the grid at distance one, as an array."""
+    segments = F.sequence(F.lit(0), F.lit(4 * (BITS // SEGMENT_BITS - 1)), F.lit(4))
+    count = lambda at: F.call_function("shiftrightunsigned", vec, at).bitwiseAND(F.lit(15))
+    one = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
+    more = F.transform(F.filter(segments, lambda at: count(at) < SEGMENT_BITS), lambda at: vec + one(at))
+    less = F.transform(F.filter(segments, lambda at: count(at) > 0), lambda at: vec - one(at))
+    return F.concat(F.array(vec), more, less)
 
 
 def manhattan(a: Column, b: Column, segments: int = BITS // SEGMENT_BITS) -> Column:
@@ -98,11 +101,8 @@ def links(fps: DataFrame, max_bits: int = 2, dense: int = DENSE_CELL) -> DataFra
         raise ValueError("max_bits must be 0, 1 or 2")
     if max_bits == 0:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where(F.lit(False))
-    counts = segment_counts(F.col("fp"))
-    here = fps.select("fp", packed(counts).alias("vec"), *[c.alias(f"c{k}") for k, c in enumerate(counts)])
-    # The ball of radius one around the vector, within the grid: two vectors at distance two or less share a cell.
-    around = F.array(F.col("vec"), *[x for k in range(len(counts)) for x in (F.when(F.col(f"c{k}") < SEGMENT_BITS, F.col("vec") + F.lit(1 << 4 * k)), F.when(F.col(f"c{k}") > 0, F.col("vec") - F.lit(1 << 4 * k)))])
-    cells = here.select("fp", "vec", F.explode(F.array_compact(around)).alias("cell"))
+    # Two vectors at distance two or less share a vector of their balls of radius one.
+    cells = fps.select("fp", segment_counts(F.col("fp")).alias("vec")).select("fp", "vec", F.explode(ball(F.col("vec"))).alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     inside = checkpointed(cells.join(sizes, "cell"))
     few = inside.where(F.col("n") <= dense).select("cell", "fp", "vec")
