@@ -142,6 +142,29 @@ def trusted_ids(labels: DataFrame, doc_id: str = "doc_id", quality: str = "quali
     return labels.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.min(F.coalesce(F.col(quality), F.lit(0))).alias("_q")).where("_q = 1").select(doc_id)
 
 
+#: Bits of the filter that spares most texts of unlabelled documents a shuffle; a bound on what is sent to the tasks.
+FILTER_BITS = 1 << 23
+
+
+def documents_of(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of docs whose id is in ids, an exact semi-join.
+
+    A bit table of hashed ids, of a fixed size, first takes out most other rows where they are read, so their texts aren't shuffled; what passes by chance goes in
+    the join.
+    """
+    place = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(bits))
+    words = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(32)).cast("int"))).alias("b")).collect()
+    table = np.zeros(bits // 32, np.uint32)
+    table[[r.w for r in words]] = [r.b for r in words]
+
+    @F.arrow_udf("boolean")
+    def maybe(places: pa.Array) -> pa.Array:
+        p = places.to_numpy(zero_copy_only=False)
+        return pa.array((table[p >> 5] >> (p & 31).astype(np.uint32) & 1).astype(bool))
+
+    return docs.where(F.col(doc_id).isNotNull()).where(maybe(place)).join(ids.hint("merge"), doc_id, "left_semi")
+
+
 def quality(docs: DataFrame, trusted: DataFrame, min_ratio: float = MIN_RATIO, text: str = "text", sizes: tuple[int, ...] = SIZES, buckets: int = BUCKETS) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed and kept; trusted: documents (rows with the text column) of the target.
 
