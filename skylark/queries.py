@@ -1,11 +1,16 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
-FLAGSHIP = ""
+from __future__ import annotations
 
+from skylark.plans import cases, engines, graphs, relational, texts, windows  # noqa: F401  each registers its queries
+from skylark.plans.registry import QUERIES, SQL
 
-def queries():
-    return {}
+FLAGSHIP = "g10_decay_report"
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
