@@ -83,33 +83,53 @@ def statistics(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), repeats, repeated_words(words)
 
 
+#: Buckets of one row of partial counts.
+BLOCK = 256
+BLOCKS = "block int, counts array<bigint>"
+
+
+def block_rows(totals: dict[int, np.ndarray]) -> pa.RecordBatch:
+    values = pa.array(np.concatenate([*totals.values(), np.zeros(0, np.int64)]))
+    rows = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, BLOCK), pa.int32()), values)
+    return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), rows], ["block", "counts"])
+
+
 @dataclass
 class Counts:
-    """Counts of n-grams by bucket, summed over what a task reads."""
+    """Counts of n-grams by bucket, summed over what a task reads: one row for each block of buckets that has any."""
 
     sizes: tuple[int, ...]
     buckets: int
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(self.buckets, np.int64)
+        total = np.zeros((-(-self.buckets // BLOCK), BLOCK), np.int64)
+        flat = total.reshape(-1)
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                if t:
-                    total += np.bincount(hashed(t, self.sizes, self.buckets), minlength=self.buckets) if len(t) > 4096 else 0
-                    if len(t) <= 4096:
-                        np.add.at(total, hashed(t, self.sizes, self.buckets), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+                if t and len(t) > 4096:
+                    flat += np.bincount(hashed(t, self.sizes, self.buckets), minlength=len(flat))
+                elif t:
+                    np.add.at(flat, hashed(t, self.sizes, self.buckets), 1)
+        yield block_rows({k: total[k] for k in np.flatnonzero(total.any(1)).tolist()})
+
+
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the rows of each block; all rows of a block are in one partition, and one row per block is held."""
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).values.to_numpy(zero_copy_only=False).reshape(-1, BLOCK), strict=True):
+            totals[k] = totals.get(k, 0) + counts
+    yield block_rows(totals)
 
 
 def bucket_counts(texts: DataFrame, text: str = "text", sizes: tuple[int, ...] = SIZES, buckets: int = BUCKETS) -> np.ndarray:
     """Corpus counts of every bucket; as many numbers as buckets reach the driver, however large the corpus."""
     small_batches(texts.sparkSession)
-    parts = texts.select(F.col(text).cast("string").alias("text")).mapInArrow(Counts(sizes, buckets), "bucket int, n bigint")
-    out = np.zeros(buckets, np.int64)
-    for r in parts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r.bucket] = r.n
-    return out
+    parts = texts.select(F.col(text).cast("string").alias("text")).mapInArrow(Counts(sizes, buckets), BLOCKS)
+    out = np.zeros((-(-buckets // BLOCK), BLOCK), np.int64)
+    for r in parts.repartition("block").mapInArrow(summed, BLOCKS).collect():
+        out[r.block] = r.counts
+    return out.reshape(-1)[:buckets]
 
 
 def log_ratio(trusted: np.ndarray, raw: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
