@@ -26,7 +26,7 @@ NAMES = {v: k for k, v in ROLES.items()}
 #: States that may follow a state.
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 NEVER = float("inf")
-SCHEMA = "conv_id bigint, turn bigint, role string, text string, new_role string, op string, opens int, cost double, rendered string"
+SCHEMA = "place bigint, conv_id bigint, turn bigint, role string, text string, new_role string, op string, opens int, cost double, rendered string"
 
 
 @dataclass(frozen=True)
@@ -163,7 +163,7 @@ class Repair:
             spent = [s[2] for s in chosen]
             if last:
                 spent[-1] += end_cost(end, self.costs)
-            out = pd.DataFrame({"conv_id": piece["conv_id"].astype("Int64").to_numpy(), "turn": piece["turn"].astype("Int64").to_numpy(), "role": roles, "text": texts})
+            out = pd.DataFrame({"place": piece["place"].to_numpy(), "conv_id": piece["conv_id"].astype("Int64").to_numpy(), "turn": piece["turn"].astype("Int64").to_numpy(), "role": roles, "text": texts})
             out["new_role"] = [NAMES[s[1]] for s in chosen]
             out["op"] = [s[3] for s in chosen]
             out["opens"] = [0 if s[0] == s[1] and not s[4] else 1 + len(s[4]) for s in chosen]
@@ -193,8 +193,8 @@ def joined(rows: list, costs: Costs) -> dict:
     return fixed
 
 
-def repair_roles(turns: DataFrame, costs: Costs = Costs(), conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row for every turn, with new_role, op (keep, relabel, merge, insert, or relabel with one of these), opens (turns that begin here, inserted ones included),
+def repair_roles(turns: DataFrame, costs: Costs = Costs(), conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", partitions: int | None = None) -> DataFrame:
+    """One row for every turn, with place (grows along each conversation), new_role, op (keep, relabel, merge, insert, or relabel with one of these), opens (turns that begin here, inserted ones included),
     cost (of this turn's repair; the last one's includes that of the end) and rendered (its part of the formatted conversation).
 
     Turns follow each other by turn number, null first, ties by role and text. A null conversation id is a conversation of its own. A null or unknown role is named at a low cost; a null text is
@@ -203,12 +203,13 @@ def repair_roles(turns: DataFrame, costs: Costs = Costs(), conv_id: str = "conv_
     small_batches(turns.sparkSession, 5000)
     rows = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
     order = ["conv_id", "turn", "role", "text"]
-    held = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    spread = rows.repartitionByRange(*order) if partitions is None else rows.repartitionByRange(partitions, *order)
+    held = checkpointed(spread.sortWithinPartitions(*order).withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}))
     ends = held.select("part", "conv_id", "role").mapInPandas(Repair(costs).ends, "part int, number int, conv_id bigint, costs array<double>")
     return held.mapInPandas(Repair(costs, joined([r.asDict() for r in ends.collect()], costs)).repaired, SCHEMA)
 
 
 def render(repaired: DataFrame) -> DataFrame:
     """(conv_id, text): each conversation as one string, for conversations that fit into one."""
-    parts = F.array_sort(F.collect_list(F.struct("turn", "role", "text", "rendered")))
+    parts = F.array_sort(F.collect_list(F.struct("place", "rendered")))
     return repaired.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["rendered"]), "").alias("text"))

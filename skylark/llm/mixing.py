@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylark.llm.common import WORD, checkpointed, fresh, word_count
+from skylark.llm.common import WORD, checkpointed, word_count
 
 #: Slices of a source by hash; running sums go over slices first, so that no source is sorted in one task.
 SLICES = 2048
@@ -45,20 +45,20 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFram
     return sources.withColumn("target", target.cast("double") if weight or level is None else cap)
 
 
-def mix_plan(docs: DataFrame, weights: tuple[float, ...] | DataFrame = (5.0, 2.0, 1.0), share: float = 1.5, max_epochs: float = 2.0, seed: int = 42, text: str = "text", doc_id: str = "doc_id", source: str = "source", keep_text: bool = False) -> DataFrame:
+def mix_plan(docs: DataFrame, weights: tuple[float, ...] | DataFrame = (5.0, 2.0, 1.0), share: float = 1.5, max_epochs: float = 2.0, seed: int = 42, text: str = "text", doc_id: str = "doc_id", source: str = "source", keep_row: bool = False) -> DataFrame:
     """Every row of docs with its size, source_size, target (both of its source), taken, whole (how often it is taken whole)
     and part (words of one more, partial repetition).
 
     weights: a cycle dealt to the sources by code point, null last, or a table (source, weight). share: words of the mix as a part of all words.
     Null texts and texts without words have size 0 and are taken 0 words, 0 times. A null source is a source of its own. Repeated rows and equal or null
-    ids are documents of their own. A source of size 0 has target 0. The columns of docs stay only with keep_text; result columns replace their namesakes.
+    ids are documents of their own. A source of size 0 has target 0. Of docs' columns, the id and the source stay, and with keep_row all of them, as a struct `_row`.
     """
-    key = F.col(source)
+    key = F.col("_key")
     order = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
-    columns = docs.columns if keep_text else [doc_id, source]
-    sized = docs.select(*[F.col(c) for c in columns if c != "size"], word_count(F.col(text)).alias("size"), order.alias("_order"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if keep_row else []
+    sized = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_key"), *row, word_count(F.col(text)).alias("size"), order.alias("_order"))
     sized = sized.withColumn("_slice", F.pmod(F.shiftrightunsigned(F.col("_order"), 20), F.lit(SLICES)))
-    slices = checkpointed((sized if keep_text else (sized := checkpointed(sized))).groupBy(key.alias("_source"), "_slice").agg(F.sum("size").alias("_size")))
+    slices = checkpointed((sized if keep_row else (sized := checkpointed(sized))).groupBy(key.alias("_source"), "_slice").agg(F.sum("size").alias("_size")))
     sources = slices.groupBy("_source").agg(F.sum("_size").alias("size"))
     if isinstance(weights, DataFrame):
         named = weights.select(F.col("source").alias("_of"), F.col("weight").cast("double").alias("weight"))
@@ -76,18 +76,18 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] | DataFrame = (5.0, 2.0
     cut = slices.withColumn("_before", F.coalesce(F.sum("_size").over(run), F.lit(0)))
     plan = cut.join(filled.select(F.col("_source").alias("_of"), "target", F.col("size").alias("source_size"), "_whole", "_rest"), F.col("_source").eqNullSafe(F.col("_of")))
     plan = plan.select(F.col("_source"), F.col("_slice").alias("_at"), "target", "source_size", "_whole", "_size", (F.col("_rest") - F.col("_before")).alias("_left"))
-    joined = sized.drop("target", "source_size").join(plan, key.eqNullSafe(F.col("_source")) & (F.col("_slice") == F.col("_at"))).drop("_source", "_at")
+    joined = sized.join(plan, key.eqNullSafe(F.col("_source")) & (F.col("_slice") == F.col("_at"))).drop("_source", "_at")
     # Only a slice that the line crosses needs the order of its documents.
     crossed = (F.col("_left") > 0) & (F.col("_left") < F.col("_size"))
-    within = Window.partitionBy(key, "_slice").orderBy("_order", F.col(doc_id), "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(key, "_slice").orderBy("_order", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     plain = joined.where(~crossed).withColumn("_extra", F.when(F.col("_left") > 0, F.col("size")).otherwise(0).cast("long"))
     drawn = joined.where(crossed).withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left") - F.coalesce(F.sum("size").over(within), F.lit(0)))).cast("long"))
     done = plain.unionByName(drawn)
     full = (F.col("_extra") == F.col("size")) & (F.col("size") > 0)
     whole = (F.col("_whole") + full.cast("int")).cast("int")
     done = done.withColumns({"taken": (F.col("_whole") * F.col("size") + F.col("_extra")).cast("long"), "whole": F.when(F.col("size") > 0, whole).otherwise(0), "part": F.when(full, 0).otherwise(F.col("_extra"))})
-    first = [F.col(c) for c in columns if c not in ("size", "source_size", "target", "taken", "whole", "part")]
-    return done.select(*first, F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", "taken", "whole", "part")
+    first = ["_row"] if keep_row else []
+    return done.select(F.col("_id").alias("doc_id"), F.col("_key").alias("source"), "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken", "whole", "part", *first)
 
 
 def leading_words(text: Column, n: Column) -> Column:
@@ -100,12 +100,11 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
 
     The one document of a source that is taken in part has its leading words as text, and their length as n_chars if there is such a column; texts without words are not taken.
     """
-    kept = {c: fresh(docs, f"_{c}") for c in ("size", "source_size", "target", "taken", "whole", "part") if c in docs.columns}
-    plan = mix_plan(docs.withColumnsRenamed(kept), text=text, doc_id=doc_id, source=source, keep_text=True, **params)
+    plan = mix_plan(docs, text=text, doc_id=doc_id, source=source, keep_row=True, **params)
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("whole")), F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<long>")))
-    rows = plan.withColumn("_words", F.explode(copies)).drop("size", "source_size", "target", "taken", "whole", "part").withColumnsRenamed({v: k for k, v in kept.items()})
+    rows = plan.select("_row", F.explode(copies).alias("_words"))
     partial = F.col("_words") > 0
-    rows = rows.withColumn(text, F.when(partial, leading_words(F.col(text), F.col("_words"))).otherwise(F.col(text)))
+    cut = {text: F.when(partial, leading_words(F.col(f"_row.{text}"), F.col("_words"))).otherwise(F.col(f"_row.{text}"))}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(partial, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(docs.columns)
+        cut["n_chars"] = F.when(partial, F.char_length(cut[text]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return rows.select(*[cut.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
