@@ -13,8 +13,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,16 +67,15 @@ class Link:
 class Rows:
     """The sample's words as a sparse table of rows and word numbers."""
 
-    def __init__(self, keys: list[np.ndarray]):
-        self.n = len(keys)
-        every, counts = np.unique(np.concatenate([*keys, np.zeros(0, np.uint64)]), return_counts=True)
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
+        """flat: the keys of all rows one after the other; lengths: how many each row has. Only keys of MIN_DOCUMENTS rows or more are kept."""
+        self.n = len(lengths)
+        every, counts = np.unique(flat, return_counts=True)
         self.words = every[counts >= MIN_DOCUMENTS]
-        rows = np.repeat(np.arange(self.n), [len(k) for k in keys])
-        flat = np.concatenate([*keys, np.zeros(0, np.uint64)])
-        at = np.searchsorted(self.words, flat)
+        at = np.searchsorted(self.words, flat).astype(np.int32)
         known = at < len(self.words)
         known[known] = self.words[at[known]] == flat[known]
-        self.row, self.word = rows[known], at[known]
+        self.word, self.row = at[known], np.repeat(np.arange(self.n, dtype=np.int32), lengths)[known]
 
     def chosen(self, y: np.ndarray, use: np.ndarray, most: int) -> np.ndarray:
         """Word numbers with the highest chi-squared statistic on the rows in use."""
@@ -98,13 +97,14 @@ class Rows:
         return out
 
 
-def fit_chain(keys: list[np.ndarray], y: np.ndarray, words: int = WORDS, ridge: float = RIDGE) -> list[Link]:
-    """The chain's models; y: a 0/1 column per category, in the chain's order."""
-    rows, fold, earlier, chain = Rows(keys), folds(len(keys), FOLDS), np.zeros((len(keys), 0)), []
+def fit_chain(flat: np.ndarray, lengths: np.ndarray, y: np.ndarray, words: int = WORDS, ridge: float = RIDGE) -> list[Link]:
+    """The chain's models; flat, lengths: the rows' keys; y: a 0/1 column per category, in the chain's order."""
+    n = len(lengths)
+    rows, fold, earlier, chain = Rows(flat, lengths), folds(n, FOLDS), np.zeros((n, 0)), []
     for c in range(y.shape[1]):
-        out_of_fold = np.zeros(len(keys))
+        out_of_fold = np.zeros(n)
         for f in [*range(FOLDS), None]:
-            use = np.ones(len(keys), bool) if f is None else fold != f
+            use = np.ones(n, bool) if f is None else fold != f
             chosen = rows.chosen(y[:, c], use, words)
             x = np.hstack([rows.present(chosen), earlier])
             link = Link(rows.words[chosen], logistic(x[use], y[use, c], ridge) if use.any() else np.zeros(x.shape[1] + 1))
@@ -145,7 +145,7 @@ class Predictor:
         return sigmoid(earlier)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], each: int, text: str, doc_id: str, seed: int) -> pd.DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], each: int, text: str, doc_id: str, seed: int) -> pa.Table:
     """Rows (words, categories) of about `each` labelled documents with the first category and as many without."""
     order = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(1 << 40))
     once = labels.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(*[F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(c) for c in categories])
@@ -155,14 +155,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], e
     few = once.where(order < share)  # of a bounded size: about twice `each`
     keys = F.arrow_udf(lambda v: pa.array([np.array(word_keys(t), np.uint64).view(np.int64).tolist() for t in v.to_pylist()], pa.list_(pa.int64())), "array<long>")
     rows = docs.where(F.col(text).isNotNull()).join(F.broadcast(few), doc_id).select(F.col(doc_id).alias("doc_id"), keys(F.col(text)).alias("words"), *categories)
-    return rows.toPandas().assign(n=lambda t: t["words"].map(len)).sort_values(["doc_id", "n"], kind="stable")
+    return rows.toArrow()
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], each: int = SAMPLE_EACH, text: str = "text", doc_id: str = "doc_id", seed: int = 3) -> list[Link]:
     """The chain for labels' 0/1 columns `categories`, in this order. Rows without id, text or label are no use; several labels of an id count as the highest."""
     small_batches(docs.sparkSession)
     rows = labelled_sample(docs.select(doc_id, text), labels, categories, each, text, doc_id, seed)
-    return fit_chain([np.asarray(w, np.int64).view(np.uint64) for w in rows["words"]], rows[categories].to_numpy(float))
+    rows = rows.append_column("n", pa.compute.list_value_length(rows["words"])).sort_by([("doc_id", "ascending"), ("n", "ascending")]).combine_chunks()
+    y = np.stack([rows[c].to_numpy() for c in categories], 1).astype(float)
+    lengths = rows["n"].to_numpy()
+    flat = rows["words"].combine_chunks().flatten().to_numpy().view(np.uint64)
+    return fit_chain(flat, lengths, y)
 
 
 def probabilities(text: Column, chain: list[Link], categories: list[str]) -> Column:

@@ -187,7 +187,7 @@ def test_op4_finds_toxic_documents(spark):
 def test_toxicity_chain_feeds_earlier_categories_and_odd_rows(spark):
     keys = [np.array(sorted({k % 7, 50 + k % 3}), np.uint64) for k in range(60)]
     y = np.array([[k % 7 == 0, k % 7 == 0 and k % 3 == 0] for k in range(60)], float)
-    chain = toxicity.fit_chain(keys, y, words=10)
+    chain = toxicity.fit_chain(np.concatenate(keys), np.array(list(map(len, keys))), y, words=10)
     assert len(chain[1].weights) == len(chain[1].words) + 1 + 1 and chain[1].weights[-2] > 0
     docs, labels = odd_docs(spark), spark.createDataFrame([(4, 1), (5, 0), (None, 1)], "doc_id long, toxic int")
     chain = toxicity.fit(docs, labels, ["toxic"])
