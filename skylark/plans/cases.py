@@ -10,7 +10,9 @@ from skylark.functions.align import jaro_winkler
 from skylark.functions.text import normal_name
 from skylark.plans.registry import query
 
-count = F.count(F.lit(1))
+def count():
+    return F.count(F.lit(1))
+
 OWNED = "owned AS (SELECT c_nationkey AS case_id, c_custkey AS actor, o_orderkey AS event, CAST(o_orderdate AS DATE) AS day FROM customer JOIN orders ON o_custkey = c_custkey)"
 
 
@@ -27,7 +29,7 @@ def g37_case_heat(spark, sf):
     x = owned(spark, sf)
     base = x.groupBy("case_id").agg(F.countDistinct("actor").alias("actors"), F.countDistinct("event").alias("events"))
     week = Window.partitionBy("case_id").orderBy("d").rangeBetween(0, 7)
-    per = x.groupBy("case_id", F.unix_date("day").alias("d")).agg(count.alias("n"))
+    per = x.groupBy("case_id", F.unix_date("day").alias("d")).agg(count().alias("n"))
     dense = per.withColumn("w", F.sum("n").over(week)).groupBy("case_id").agg(F.max("w").alias("w"))
     one = F.lit(1.0)
     heat = 0.35 * F.least(F.col("events") / F.col("actors") / 5, one) + 0.35 * (F.col("w") / F.col("events")) + 0.30 * F.least(F.col("events") / 1000, one)
@@ -41,7 +43,7 @@ def g38_case_suggestions(spark, sf):
     """Actors met in a case's events that aren't pinned to it, the best twelve of each case."""
     hot = owned(spark, sf).where("event % 10 = 0").select("case_id", "event").distinct()
     met = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("event"), F.col("l_suppkey").alias("actor")).distinct()
-    cand = hot.join(met, "event").groupBy("case_id", "actor").agg(count.alias("shared"))
+    cand = hot.join(met, "event").groupBy("case_id", "actor").agg(count().alias("shared"))
     known = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("case_id"), F.col("s_suppkey").alias("actor"))
     best = Window.partitionBy("case_id").orderBy(F.desc("shared"), "actor")
     top = cand.join(known, ["case_id", "actor"], "left_anti").withColumn("r", F.row_number().over(best)).where("r <= 12")
@@ -55,7 +57,7 @@ def g51_archive_split(spark, sf):
     """Archiving a case moves what only it has and copies what others share."""
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("event"), F.col("l_partkey").alias("artifact"))
     reach = owned(spark, sf).join(li, "event").select("case_id", "artifact").distinct()
-    n = reach.groupBy("artifact").agg(count.alias("cases"))
+    n = reach.groupBy("artifact").agg(count().alias("cases"))
     return reach.join(n, "artifact").groupBy("case_id").agg(F.count_if(F.col("cases") == 1).alias("moved"), F.count_if(F.col("cases") > 1).alias("copied"))
 
 
@@ -74,7 +76,7 @@ def g42_promote_entities(spark, sf):
     """Entities seen twice or more that aren't on the block list, with a confidence that grows with their signals."""
     blocked = table(spark, sf, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"))
     seen = table(spark, sf, "lineitem").where("l_returnflag = 'R'").join(blocked, "l_suppkey", "left_anti")
-    n = seen.groupBy(F.col("l_suppkey").alias("actor")).agg(count.alias("mentions"), F.countDistinct("l_orderkey").alias("signals")).where("signals >= 2")
+    n = seen.groupBy(F.col("l_suppkey").alias("actor")).agg(count().alias("mentions"), F.countDistinct("l_orderkey").alias("signals")).where("signals >= 2")
     return n.withColumn("confidence", F.round(F.least(0.5 + 0.1 * F.col("signals"), F.lit(0.95)), 4))
 
 
@@ -93,12 +95,12 @@ def g09_case_gravity(spark, sf):
     """Mean case gravity: half for a matching actor, three tenths for a near place, up to two for keywords."""
     e = F.col("event")
     score = F.when(e % 3 == 0, 0.5).otherwise(0.0) + F.when(e % 4 == 0, 0.3).otherwise(0.0) + 0.2 * F.least((e % 5).cast("double") / 4, F.lit(1.0))
-    return owned(spark, sf).groupBy("case_id").agg(count.alias("items"), F.round(F.avg(score), 4).alias("gravity"))
+    return owned(spark, sf).groupBy("case_id").agg(count().alias("items"), F.round(F.avg(score), 4).alias("gravity"))
 
 
 @query("SELECT event_type AS component, strftime(max(ts), '%Y-%m-%d %H:%M') AS run_at, arg_max(CASE WHEN value > 0 THEN 'ok' ELSE 'failed' END, (ts, event_id)) AS status, count(*) AS runs FROM events GROUP BY 1")
 def k07_pipeline_runs(spark, sf):
     state = F.when(F.col("value") > 0, "ok").otherwise("failed")
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("component")).agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm").alias("run_at"), F.max_by(state, F.struct("ts", "event_id")).alias("status"), count.alias("runs"))
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("component")).agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm").alias("run_at"), F.max_by(state, F.struct("ts", "event_id")).alias("status"), count().alias("runs"))
 
 

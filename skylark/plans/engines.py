@@ -10,15 +10,20 @@ from skylark.operators import joins
 from skylark.params import AS_OF, Correlation, Entropy
 from skylark.plans.registry import query
 
-count = F.count(F.lit(1))
-as_of = F.to_timestamp(F.lit(AS_OF))
+def count():
+    return F.count(F.lit(1))
+
+def as_of():
+    return F.to_timestamp(F.lit(AS_OF))
+
+
 HOURS = f"(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts)) / 3.6e9"
 RATE = "CASE stream WHEN 'CRIME_INTEL' THEN 0.02 WHEN 'INFRASTRUCTURE' THEN 0.006 WHEN 'PRIORITY' THEN 0.003 ELSE 0.012 END"
 RELEVANCE = f"greatest(CAST(0.05 AS DOUBLE), CASE WHEN is_priority = 1 THEN 1.5 ELSE 1.0 END * exp(-CAST({RATE} AS DOUBLE) * greatest({HOURS}, 0)))"
 
 
 def relevance():
-    return scores.decayed(F.col("stream"), F.col("is_priority"), scores.hours_between(as_of, F.col("ts")))
+    return scores.decayed(F.col("stream"), F.col("is_priority"), scores.hours_between(as_of(), F.col("ts")))
 
 
 @query(f"""WITH {SIGNALS} SELECT signal_id, stream, round({RELEVANCE}, 6) AS relevance, CASE WHEN {RELEVANCE} >= 0.6 THEN 'high' WHEN {RELEVANCE} >= 0.2 THEN 'medium' ELSE 'low' END AS bucket FROM signals WHERE status <> 'dismissed'""")
@@ -117,21 +122,21 @@ def g16_pair_alerts(spark, sf):
 FROM signals WHERE source <> 'click' AND ts >= TIMESTAMP '2024-01-29 00:00:00' GROUP BY 1, 2 HAVING count(*) >= 3""")
 def g17_cell_alerts(spark, sf):
     s = signals(spark, sf).where("source <> 'click' and ts >= timestamp'2024-01-29 00:00:00'")
-    cells = s.groupBy(F.floor("lat").alias("y"), F.floor(F.col("lng") / 2).alias("x")).agg(count.alias("n"), F.countDistinct("source").alias("k"), F.round(F.avg("lat"), 5).alias("lat"), F.round(F.avg("lng"), 5).alias("lng")).where("n >= 3")
+    cells = s.groupBy(F.floor("lat").alias("y"), F.floor(F.col("lng") / 2).alias("x")).agg(count().alias("n"), F.countDistinct("source").alias("k"), F.round(F.avg("lat"), 5).alias("lat"), F.round(F.avg("lng"), 5).alias("lng")).where("n >= 3")
     conf = F.least(F.lit(1.0), F.least(0.5 + 0.05 * F.col("n"), F.lit(0.85)) + 0.15 * (F.col("k") - 1))
     return cells.select("y", "x", "n", F.round(conf, 4).alias("confidence"), "lat", "lng")
 
 
 @query(f"WITH {SIGNALS} SELECT source, round((epoch_us(TIMESTAMP '{AS_OF}') - max(epoch_us(ts))) / 3.6e9, 3) AS gap_hours FROM signals GROUP BY source HAVING (epoch_us(TIMESTAMP '{AS_OF}') - max(epoch_us(ts))) / 3.6e9 >= 24")
 def g19_stalls(spark, sf):
-    gap = scores.hours_between(as_of, F.col("last"))
+    gap = scores.hours_between(as_of(), F.col("last"))
     return signals(spark, sf).groupBy("source").agg(F.max("ts").alias("last")).where(gap >= 24).select("source", F.round(gap, 3).alias("gap_hours"))
 
 
 @query(f"WITH {SIGNALS} SELECT stream, count(*) AS n, round(avg(CASE WHEN source = 'error' THEN least(k / 9.0, 1.0) WHEN source = 'purchase' THEN least(value / 500.0, 1.0) WHEN is_priority = 1 THEN 0.7 ELSE 0.5 END), 4) AS intensity FROM signals GROUP BY stream")
 def g56_stream_pulse(spark, sf):
     heat = F.when(F.col("source") == "error", F.least(F.col("k") / 9.0, F.lit(1.0))).when(F.col("source") == "purchase", F.least(F.col("value") / 500.0, F.lit(1.0))).when(F.col("is_priority") == 1, 0.7).otherwise(0.5)
-    return signals(spark, sf).groupBy("stream").agg(count.alias("n"), F.round(F.avg(heat), 4).alias("intensity"))
+    return signals(spark, sf).groupBy("stream").agg(count().alias("n"), F.round(F.avg(heat), 4).alias("intensity"))
 
 
 @query(f"""WITH {SIGNALS}, {RECENT}, {PAIRS_SQL},

@@ -10,7 +10,9 @@ from skylark.functions.scores import z_confidence
 from skylark.params import Anomaly, Emergence
 from skylark.plans.registry import query
 
-count = F.count(F.lit(1))
+def count():
+    return F.count(F.lit(1))
+
 
 
 @query("SELECT min(v) AS p90, count(*) AS n FROM (SELECT o_totalprice AS v, ntile(10) OVER (ORDER BY o_totalprice DESC, o_orderkey) AS d FROM orders WHERE o_totalprice > 0) WHERE d = 1")
@@ -19,7 +21,7 @@ def w01_top_decile(spark, sf):
     o = table(spark, sf, "orders").where("o_totalprice > 0")
     n = o.count()
     size = n // 10 + (1 if n % 10 else 0)
-    return o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(size).agg(F.min("o_totalprice").alias("p90"), count.alias("n"))
+    return o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(size).agg(F.min("o_totalprice").alias("p90"), count().alias("n"))
 
 
 @query("WITH x AS (SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS r, count(*) OVER () AS n FROM supplier) SELECT s_suppkey, s_acctbal FROM x WHERE s_acctbal >= (SELECT s_acctbal FROM x WHERE r = greatest(0, CAST(floor(n * 0.75) AS BIGINT) - 1) + 1)")
@@ -43,7 +45,7 @@ FROM stats WHERE days >= 7 AND std >= 0.5 AND (n - mean) / std > 2"""
 @query(Z_SQL)
 def g15_rolling_z_alerts(spark, sf):
     """Daily counts by source and latitude band against the 30 days before: at least 7 days, deviation 0.5, z over 2."""
-    days = signals(spark, sf).groupBy("source", F.floor(F.col("lat") / 4).alias("y"), F.to_date("ts").alias("day")).agg(count.alias("n"))
+    days = signals(spark, sf).groupBy("source", F.floor(F.col("lat") / 4).alias("y"), F.to_date("ts").alias("day")).agg(count().alias("n"))
     before = Window.partitionBy("source", "y").orderBy(F.unix_date("day")).rangeBetween(-P.baseline_days, -1)
     known = days.withColumns({"days": F.count("n").over(before), "mean": F.avg("n").over(before), "std": F.stddev_samp("n").over(before)})
     z = (F.col("n") - F.col("mean")) / F.col("std")
@@ -54,7 +56,7 @@ def g15_rolling_z_alerts(spark, sf):
 @query(f"WITH {SIGNALS} SELECT CAST(ts AS DATE)::VARCHAR AS bucket_date, source, CAST(floor(lat) AS BIGINT)::VARCHAR || ':' || CAST(floor(lng) AS BIGINT)::VARCHAR AS region_key, count(*) AS daily_count FROM signals GROUP BY 1, 2, 3")
 def g14_daily_baselines(spark, sf):
     key = F.concat_ws(":", F.floor("lat").cast("string"), F.floor("lng").cast("string"))
-    return signals(spark, sf).groupBy(F.to_date("ts").cast("string").alias("bucket_date"), "source", key.alias("region_key")).agg(count.alias("daily_count"))
+    return signals(spark, sf).groupBy(F.to_date("ts").cast("string").alias("bucket_date"), "source", key.alias("region_key")).agg(count().alias("daily_count"))
 
 
 @query(f"""WITH {PART_ORDERS}, w AS (SELECT actor_id, count(DISTINCT event_id) FILTER (WHERE day > DATE '1997-06-30' AND day <= DATE '1997-12-31') AS now_n, count(DISTINCT event_id) FILTER (WHERE day > DATE '1996-12-31' AND day <= DATE '1997-06-30') AS base_n FROM part_orders GROUP BY 1)
@@ -76,7 +78,7 @@ FROM r WHERE k <= 2 GROUP BY 1, 2 HAVING sum(n) >= 2""")
 def g35_tag_velocity(spark, sf):
     """Tag counts of the latest pulse against the one before; the two pulses are found first, so no ranking over all rows."""
     d = table(spark, sf, "documents").select((F.col("doc_id") % 4).alias("pulse"), F.col("lang").alias("seed"), F.lower(F.regexp_extract("text", "[A-Za-z]{4,}", 0)).alias("tag")).where("tag <> ''")
-    pulses = d.groupBy("pulse").agg(count.alias("x")).orderBy(F.desc("pulse")).limit(2)
+    pulses = d.groupBy("pulse").agg(count().alias("x")).orderBy(F.desc("pulse")).limit(2)
     order = pulses.withColumn("k", F.row_number().over(Window.orderBy(F.desc("pulse")))).select("pulse", "k")
     c = d.join(F.broadcast(order), "pulse").groupBy("seed", "tag").agg(F.count_if(F.col("k") == 1).alias("latest"), F.count_if(F.col("k") == 2).alias("previous"))
     return c.where(F.col("latest") + F.col("previous") >= 2).withColumn("velocity", F.round(F.col("latest") / F.greatest(F.col("previous"), F.lit(1)), 4))
@@ -101,7 +103,7 @@ def w07_densest_week(spark, sf):
 SELECT strftime(h, '%Y-%m-%d %H') AS hour, count(signal_id) AS n, coalesce(sum(is_priority), 0) AS priority FROM spine LEFT JOIN signals ON date_trunc('hour', ts) = h GROUP BY 1""")
 def w08_hourly_spine(spark, sf):
     """Hourly counts without gaps: the few hours of the spine take the grouped counts."""
-    per = signals(spark, sf).where("ts >= timestamp'2024-01-28 00:00:00' and ts < timestamp'2024-01-31 00:00:00'").groupBy(F.date_trunc("hour", "ts").alias("h")).agg(count.alias("n"), F.sum("is_priority").alias("p"))
+    per = signals(spark, sf).where("ts >= timestamp'2024-01-28 00:00:00' and ts < timestamp'2024-01-31 00:00:00'").groupBy(F.date_trunc("hour", "ts").alias("h")).agg(count().alias("n"), F.sum("is_priority").alias("p"))
     spine = spark.sql("select explode(sequence(timestamp'2024-01-28 00:00:00', timestamp'2024-01-30 23:00:00', interval 1 hour)) as h")
     return spine.join(per, "h", "left").select(F.date_format("h", "yyyy-MM-dd HH").alias("hour"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("p", F.lit(0)).alias("priority"))
 
@@ -111,7 +113,7 @@ def w09_time_buckets(spark, sf):
     """48-hour buckets since the epoch, months, and weeks of the year that begin on Monday (week 0 before the first)."""
     day = F.to_date("ts")
     week = F.floor((F.dayofyear(day) + 6 - F.weekday(day)) / 7).cast("int")
-    return signals(spark, sf).groupBy(F.floor(F.unix_date(day) / 2).alias("bucket48"), F.date_format("ts", "yyyyMM").alias("month"), week.alias("week")).agg(count.alias("n"))
+    return signals(spark, sf).groupBy(F.floor(F.unix_date(day) / 2).alias("bucket48"), F.date_format("ts", "yyyyMM").alias("month"), week.alias("week")).agg(count().alias("n"))
 
 
 @query("""WITH x AS (SELECT 'order' AS kind, o_orderkey AS id, o_custkey AS k, CAST(o_orderdate AS DATE) AS day FROM orders UNION ALL SELECT 'line', l_orderkey * 10 + l_linenumber, o_custkey, CAST(l_shipdate AS DATE) FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
