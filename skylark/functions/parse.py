@@ -40,11 +40,18 @@ def money(text: Column) -> Column:
     return F.when((millions >= 0.01) & (millions <= 999000), millions)
 
 
+@F.pandas_udf(StringType())
+def tenths(value: pd.Series) -> pd.Series:
+    """A number to one decimal, rounded by its exact binary value; format_string rounds by the digits it would print, so 1.25 comes out as 1.3."""
+    return value.map(lambda v: f"{v:.1f}", na_action="ignore")
+
+
 def money_label(amount: Column) -> Column:
     """An amount as R1.2B, R3.4M or R5K."""
+    scaled = tenths(amount / F.when(amount >= 1e9, 1e9).otherwise(1e6))
     return (
-        F.when(amount >= 1e9, F.format_string("R%.1fB", amount / 1e9))
-        .when(amount >= 1e6, F.format_string("R%.1fM", amount / 1e6))
+        F.when(amount >= 1e9, F.concat(F.lit("R"), scaled, F.lit("B")))
+        .when(amount >= 1e6, F.concat(F.lit("R"), scaled, F.lit("M")))
         .when(amount >= 1e3, F.format_string("R%.0fK", F.floor(amount / 1e3).cast("double")))
         .otherwise(F.format_string("R%.0f", F.floor(amount).cast("double")))
     )
@@ -75,7 +82,9 @@ def exhibit_holds(mark: Column, hash_: Column) -> Column:
 
 def snippet(text: Column, found: Column, longest: int = 250) -> Column:
     """The sentence around a string (case aside): what lies between the full stops or line ends about it, cut to the longest; null if not found."""
-    at = F.instr(F.lower(text), F.lower(found))
+    # Found in the text itself: its lower case may have another length.
+    at = F.char_length(F.split(text, F.concat(F.lit(r"(?iu)\Q"), found, F.lit(r"\E")), 2)[0]) + 1
+    at = F.when(at <= F.char_length(text), at).otherwise(0)
     before, after = F.substring(text, F.lit(1), at - 1), F.substring(text, at, F.char_length(text))
     start = F.element_at(F.split(before, r"[.\n]"), -1)
     return F.when(at > 0, F.substring(F.trim(F.concat(start, F.element_at(F.split(after, r"[.\n]", 2), 1))), 1, longest))

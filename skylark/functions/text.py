@@ -14,7 +14,8 @@ def refine(text: Column) -> Column:
     plain = F.regexp_replace(text, r"<[^>]{0,500}>", " ")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(entity), F.lit(char))
-    plain = F.coalesce(F.try_url_decode(plain), plain)
+    # A sign that begins no escape stands for itself and doesn't keep the others from being decoded.
+    plain = F.url_decode(F.regexp_replace(plain, r"%(?![0-9A-Fa-f]{2})", "%25"))
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 

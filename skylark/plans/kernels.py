@@ -157,6 +157,12 @@ def t32_snippets(spark, sf):
     return d.select("doc_id", parse.snippet(F.col("text"), F.lit("the")).alias("snippet")).where("snippet is not null")
 
 
+@query()
+def t32_snippets_all(spark, sf):
+    """All documents, those whose lower case has another length too."""
+    return table(spark, sf, "documents").select("doc_id", parse.snippet(F.col("text"), F.lit("the")).alias("snippet")).where("snippet is not null")
+
+
 # Patterns of relations in order of trust, with weights.
 RELATIONS = [(r"\bof\b", "member_of", 0.9), (r"\bto\b", "paid", 0.7), (r"\bin\b", "located_in", 0.5), (r"\bthe\b", "mentioned_with", 0.3)]
 
@@ -181,10 +187,21 @@ def t41_money(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.round(parse.money(written), 8).alias("millions"))
 
 
+def amounts(spark, sf):
+    """Prices of orders in hundredths, whole units and thousands by turns."""
+    return table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") * F.when(F.col("o_orderkey") % 3 == 0, 0.01).when(F.col("o_orderkey") % 3 == 1, 1.0).otherwise(1000.0)).alias("v"))
+
+
 @query("SELECT o_orderkey, CASE WHEN v >= 1e9 THEN 'R' || printf('%.1f', v / 1e9) || 'B' WHEN v >= 1e6 THEN 'R' || printf('%.1f', v / 1e6) || 'M' WHEN v >= 1e3 THEN 'R' || CAST(floor(v / 1e3) AS BIGINT)::VARCHAR || 'K' ELSE 'R' || CAST(floor(v) AS BIGINT)::VARCHAR END AS label FROM (SELECT o_orderkey, o_totalprice * (CASE o_orderkey % 3 WHEN 0 THEN 0.01 WHEN 1 THEN 1 ELSE 1000 END) AS v FROM orders) WHERE v < 1e6")
 def t45_money_labels(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") * F.when(F.col("o_orderkey") % 3 == 0, 0.01).when(F.col("o_orderkey") % 3 == 1, 1.0).otherwise(1000.0)).alias("v"))
-    return o.where("v < 1e6").select("o_orderkey", parse.money_label(F.col("v")).alias("label"))
+    """The labels below a million, which both engines round alike."""
+    return amounts(spark, sf).where("v < 1e6").select("o_orderkey", parse.money_label(F.col("v")).alias("label"))
+
+
+@query()
+def t45_money_labels_all(spark, sf):
+    """All labels, those in millions and billions too."""
+    return amounts(spark, sf).select("o_orderkey", parse.money_label(F.col("v")).alias("label"))
 
 
 @query("SELECT doc_id, round(CASE WHEN d > 0 THEN 0.35 * least(1, 0.6 + 0.1 * ln(1 + d)) ELSE 0 END + CASE WHEN h > 0 THEN 0.30 * least(1, 0.6 + 0.1 * ln(1 + h)) ELSE 0 END, 3) AS confidence FROM (SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS d, len(regexp_extract_all(text, '#')) AS h FROM documents WHERE text IS NOT NULL)")

@@ -23,6 +23,12 @@ def t01_refine(spark, sf):
     return table(spark, sf, "pages").where(~F.col("html").contains("%") & ~F.col("html").contains("+")).select("page_id", T.refine(F.col("html")).alias("plain"))
 
 
+@query()
+def t01_refine_all(spark, sf):
+    """All pages, those with URL escapes too."""
+    return table(spark, sf, "pages").select("page_id", T.refine(F.col("html")).alias("plain"))
+
+
 @query(f"SELECT doc_id, len({KEYS}) AS n, array_to_string(list_sort({KEYS})[1:20], ' ') AS sample FROM documents")
 def t03_keywords(spark, sf):
     keys = T.keywords(F.col("text"))
