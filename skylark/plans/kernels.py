@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skylark.adapters import SIGNALS, signals, table
 from skylark.functions import parse, scores
 from skylark.functions import text as T
-from skylark.plans.registry import query
+from skylark.plans.registry import SQL, query
 
 
 def text(c: str):
@@ -167,11 +167,21 @@ def t32_snippets_all(spark, sf):
 RELATIONS = [(r"\bof\b", "member_of", 0.9), (r"\bto\b", "paid", 0.7), (r"\bin\b", "located_in", 0.5), (r"\bthe\b", "mentioned_with", 0.3)]
 
 
-@query("SELECT item_id, relation, CASE relation " + " ".join(f"WHEN '{r}' THEN CAST({w} AS DOUBLE)" for _, r, w in RELATIONS) + " END AS weight FROM (SELECT item_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{r}'" for p, r, _ in RELATIONS) + " END AS relation FROM benchmark) WHERE relation IS NOT NULL")
-def t33_relation_patterns(spark, sf):
+def relations(texts, key):
+    """The first relation whose pattern is in the text, with its weight."""
     low = F.lower("text")
     first = F.coalesce(*[F.when(low.rlike(p), F.struct(F.lit(r).alias("relation"), F.lit(w).alias("weight"))) for p, r, w in RELATIONS])
-    return table(spark, sf, "benchmark").select("item_id", first.alias("f")).where("f is not null").select("item_id", "f.relation", "f.weight")
+    return texts.select(key, first.alias("f")).where("f is not null").select(key, "f.relation", "f.weight")
+
+
+@query("SELECT item_id, relation, CASE relation " + " ".join(f"WHEN '{r}' THEN CAST({w} AS DOUBLE)" for _, r, w in RELATIONS) + " END AS weight FROM (SELECT item_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{r}'" for p, r, _ in RELATIONS) + " END AS relation FROM benchmark) WHERE relation IS NOT NULL")
+def t33_relation_patterns(spark, sf):
+    return relations(table(spark, sf, "benchmark"), "item_id")
+
+
+@query(SQL["t33_relation_patterns"].replace("item_id", "doc_id").replace("benchmark", "documents"))
+def t33_relation_patterns_documents(spark, sf):
+    return relations(table(spark, sf, "documents"), "doc_id")
 
 
 @query("SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+){1,2}')), lambda x: x NOT IN ('To The', 'The Of'))), ';') AS actors FROM documents WHERE text IS NOT NULL")

@@ -8,7 +8,8 @@ from skylark.adapters import table
 from skylark.functions import text as T
 from skylark.operators import joins
 from skylark.operators import text as engines
-from skylark.plans.registry import query
+from skylark.plans.registry import SQL, query
+from skylark.session import checkpointed
 
 def count():
     return F.count(F.lit(1))
@@ -177,3 +178,59 @@ def g34_style_resonance(spark, sf):
     b = f.select(F.col("source").alias("b"), F.col("caps").alias("cb"), F.col("leet").alias("lb"), joins.neighbours(band).alias("band"))
     score = 0.5 * (1 - F.abs(F.col("ca") - F.col("cb"))) + 0.5 * (1 - F.abs(F.col("la") - F.col("lb")))
     return a.join(b, "band").where("a < b").withColumn("r", score).where("r >= 0.65").select("a", "b", F.round("r", 6).alias("resonance"))
+
+
+def over_documents(name: str) -> str:
+    """The SQL of a query of items, over documents."""
+    return SQL[name].replace("item_id AS doc_id", "doc_id").replace("doc_id AS item_id", "doc_id").replace("item_id", "doc_id").replace("benchmark", "documents")
+
+
+@query(over_documents("t15_tfidf"))
+def t15_tfidf_documents(spark, sf):
+    docs = table(spark, sf, "documents")
+    terms = engines.exploded_terms(docs, F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)))
+    return engines.tfidf(terms, docs.count()).select("doc_id", "term", F.round("weight", 8).alias("weight"))
+
+
+@query(over_documents("g33_phrases").replace("AS items", "AS documents"))
+def g33_phrases_documents(spark, sf):
+    """Word pairs that occur in two documents or more."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    # Two shifted arrays: word_ngrams reads the words anew for each pair, which is quadratic in a long text.
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda x, y: F.concat_ws(" ", x, y))
+    g = table(spark, sf, "documents").select("doc_id", F.explode(pairs).alias("phrase"))
+    return g.groupBy("phrase").agg(count().alias("n"), F.countDistinct("doc_id").alias("documents")).where("documents >= 2")
+
+
+@query(over_documents("j16_longest_dictionary_match"))
+def j16_longest_dictionary_match_documents(spark, sf):
+    names = sorted(["thea", "the", "nation", "ation", "and", "eau", "keit"], key=lambda n: (-len(n), n))
+    found = F.coalesce(*[F.when(F.lower("text").contains(n), n) for n in names])
+    return table(spark, sf, "documents").select("doc_id", found.alias("name")).where("name is not null")
+
+
+# Words that no narrative is told by.
+COMMON = "the a an and or but in on at to for of with by from is was are were be been has have had will would could should may might this that these those it its as up out about south africa african said says new also after".split()
+
+
+@query()
+def g29_narrative_clusters(spark, sf):
+    """Documents told alike: TF-IDF cosine of 0.82 or more to a cluster's seed, clusters of three members and two sources or more.
+
+    Copies of a text count once in the search, as they are alike to the same others, and all of them as members.
+    """
+    docs, words = table(spark, sf, "documents"), F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{3,}"), F.lit(0))
+    told = docs.select("doc_id", "source", F.md5("text").alias("h"), F.filter(words, lambda w: ~w.isin(COMMON)).alias("w")).where("size(w) > 0")
+    group = told.groupBy("h").agg(F.min("doc_id").alias("first"), count().alias("copies"))
+    once = told.select("doc_id", "h", "w").join(group.select("h", "copies", F.col("first").alias("doc_id")), ["h", "doc_id"])
+    terms = once.select("doc_id", "copies", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("doc_id", "term", "len", "copies").agg(count().alias("tf"))
+    df = terms.groupBy("term").agg(F.sum("copies").alias("df"))
+    weight = F.col("tf") / F.col("len") * (F.log((F.lit(docs.count()) + 1) / (F.col("df") + 1)) + 1)
+    weights = checkpointed(terms.join(df, "term").select("doc_id", "term", "df", weight.alias("weight")))
+    seeds = engines.seed_clusters(engines.cosine_pairs(weights, 0.82)).withColumnRenamed("member", "first")
+    cluster = group.join(seeds, "first", "left").select("h", F.coalesce("seed", "first").alias("cluster"))
+    members = told.select("doc_id", "source", "h").join(cluster, "h").drop("h")
+    sizes = members.groupBy("cluster").agg(count().alias("members"), F.countDistinct("source").alias("sources")).where("members >= 3 and sources >= 2")
+    confidence = F.round(F.least(0.5 + 0.08 * (F.col("members") - 3), F.lit(0.95)), 3)
+    return members.join(sizes, "cluster").select("doc_id", "cluster", "members", "sources", confidence.alias("confidence"))
