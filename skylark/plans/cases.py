@@ -51,6 +51,38 @@ def g38_case_suggestions(spark, sf):
     return top.select("case_id", "actor", conf.alias("confidence"), F.when(conf >= 67, "HIGH").when(conf >= 34, "MEDIUM").otherwise("LOW").alias("level"))
 
 
+@query()
+def g38_case_suggestions_all(spark, sf):
+    """The best twelve leads of each case from all of its events: events met by pinned actors, actors met in pinned events, loose artifacts of pinned events.
+
+    A nation's suppliers and its customers' orders are pinned to it; lines are artifacts, the returned ones pinned.
+    """
+    pinned = owned(spark, sf).select("case_id", "event").distinct()
+    known = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("case_id"), F.col("s_suppkey").alias("actor"))
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("event"), F.col("l_suppkey").alias("actor"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("artifact"), "l_shipdate", "l_returnflag")
+    met, one = li.select("event", "actor").distinct(), F.lit(1).cast("long")
+
+    def best(found, *order):
+        return found.withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy(*order))).where("r <= 12")
+
+    def leads(found, kind, entity, co, confidence):
+        return found.select("case_id", F.lit(kind).alias("kind"), F.col(entity).alias("entity_id"), co.alias("shared"), confidence.cast("int").alias("confidence"), "r")
+
+    artifacts = li.groupBy("event").agg(count().alias("artifacts"))
+    hidden = met.join(known, "actor").groupBy("case_id", "event").agg(count().alias("shared")).join(pinned, ["case_id", "event"], "left_anti").join(artifacts, "event")
+    events = best(hidden, F.desc("shared"), F.desc("artifacts"), "event").withColumn("top", F.max("shared").over(Window.partitionBy("case_id")))
+    sizes = pinned.groupBy("case_id").agg(count().alias("events"))
+    actors = best(pinned.join(met, "event").groupBy("case_id", "actor").agg(count().alias("shared")).join(known, ["case_id", "actor"], "left_anti"), F.desc("shared"), "actor").join(sizes, "case_id")
+    # The survey takes ten artifacts at most of each case.
+    loose = best(pinned.join(li.where("l_returnflag <> 'R'"), "event"), F.desc("l_shipdate"), "artifact").where("r <= 10")
+    found = leads(events, "event", "event", F.col("shared"), F.bround(F.col("shared") / F.col("top") * 100))
+    found = found.unionByName(leads(actors, "actor", "actor", F.col("shared"), F.bround(F.col("shared") / F.col("events") * 100))).unionByName(leads(loose, "artifact", "artifact", one, F.lit(85)))
+    step = F.when(F.col("kind") == "event", 1).when(F.col("kind") == "actor", 2).otherwise(3)
+    top = best(found.withColumnRenamed("r", "own"), F.desc("confidence"), F.desc("shared"), step, "own")
+    level = F.when(F.col("confidence") >= 67, "HIGH").when(F.col("confidence") >= 34, "MEDIUM").otherwise("LOW")
+    return top.select("case_id", F.col("r").alias("place"), "kind", "entity_id", "shared", "confidence", level.alias("level"))
+
+
 @query(f"""WITH {OWNED}, li AS (SELECT l_orderkey AS event, l_partkey AS artifact FROM lineitem), reach AS (SELECT DISTINCT case_id, artifact FROM owned JOIN li USING (event)), n AS (SELECT artifact, count(*) AS cases FROM reach GROUP BY 1)
 SELECT case_id, count(*) FILTER (WHERE cases = 1) AS moved, count(*) FILTER (WHERE cases > 1) AS copied FROM reach JOIN n USING (artifact) GROUP BY case_id""")
 def g51_archive_split(spark, sf):
