@@ -84,6 +84,29 @@ def g35_tag_velocity(spark, sf):
     return c.where(F.col("latest") + F.col("previous") >= 2).withColumn("velocity", F.round(F.col("latest") / F.greatest(F.col("previous"), F.lit(1)), 4))
 
 
+@query("""WITH e AS (SELECT event_id, CAST(ts AS DATE) AS day FROM events), m AS (SELECT min(event_id) AS low, max(event_id) AS high FROM events),
+p AS (SELECT day AS pulse, lang AS seed, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS tag FROM documents, m JOIN e ON event_id = low + doc_id % (high - low + 1)),
+c AS (SELECT pulse, seed, tag, count(*) AS n FROM p GROUP BY 1, 2, 3), k AS (SELECT pulse, lag(pulse) OVER (ORDER BY pulse) AS before FROM (SELECT DISTINCT day AS pulse FROM e)),
+a AS (SELECT k.pulse, seed, tag, n AS latest, 0 AS previous FROM c JOIN k USING (pulse) UNION ALL SELECT k.pulse, seed, tag, 0, n FROM c JOIN k ON k.before = c.pulse)
+SELECT strftime(pulse, '%Y-%m-%d') AS pulse, seed, tag, CAST(sum(latest) AS BIGINT) AS latest, CAST(sum(previous) AS BIGINT) AS previous, round(CAST(sum(latest) AS DOUBLE) / greatest(sum(previous), 1), 4) AS velocity FROM a GROUP BY 1, 2, 3 HAVING sum(latest) + sum(previous) >= 2""")
+def g35_tag_velocity_all(spark, sf):
+    """Counts of all words of all documents by pulse against the pulse before it, for every pulse.
+
+    Documents carry no time: the days of `events`, dealt by id, are their pulses. Each count is told to its own pulse and to the next one.
+    """
+    e = table(spark, sf, "events").select("event_id", F.to_date("ts").alias("day"))
+    low, high = e.agg(F.min("event_id"), F.max("event_id")).first()
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
+    d = table(spark, sf, "documents").select(F.col("lang").alias("seed"), words.alias("w"), (F.lit(low) + F.col("doc_id") % (high - low + 1)).alias("event_id"))
+    c = d.join(e, "event_id").select("day", "seed", F.explode("w").alias("tag")).groupBy("day", "seed", "tag").agg(count().alias("n"))
+    # One row for each day, so the order of days is a small window.
+    days = e.select("day").distinct().withColumn("after", F.lead("day").over(Window.orderBy("day")))
+    told = F.explode(F.array(F.struct(F.col("day").alias("pulse"), F.col("n").alias("latest"), F.lit(0).cast("long").alias("previous")), F.struct(F.col("after").alias("pulse"), F.lit(0).cast("long").alias("latest"), F.col("n").alias("previous"))))
+    x = c.join(F.broadcast(days), "day").select("seed", "tag", told.alias("t")).select("seed", "tag", "t.*").where("pulse is not null")
+    x = x.groupBy("pulse", "seed", "tag").agg(F.sum("latest").alias("latest"), F.sum("previous").alias("previous")).where("latest + previous >= 2")
+    return x.select(F.date_format("pulse", "yyyy-MM-dd").alias("pulse"), "seed", "tag", "latest", "previous", F.round(F.col("latest") / F.greatest(F.col("previous"), F.lit(1)), 4).alias("velocity"))
+
+
 @query(f"""WITH {SIGNALS}, c AS (SELECT a.signal_id, a.actor_id, (SELECT count(*) FROM signals b WHERE b.actor_id = a.actor_id AND b.ts > a.ts - INTERVAL 24 HOUR AND b.ts <= a.ts) AS n FROM signals a) SELECT signal_id, actor_id, n FROM c WHERE n >= 3""")
 def w06_surge(spark, sf):
     """Signals whose actor has three or more in the 24 hours up to them."""
