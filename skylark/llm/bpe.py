@@ -14,8 +14,6 @@ import tiktoken
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END_OF_TEXT = 50256
-#: Pieces a worker remembers; then it starts afresh.
-REMEMBERED = 200_000
 
 
 def vocabulary_path(folder: str | None = None, name: str = VOCABULARY) -> str:
@@ -26,10 +24,7 @@ def vocabulary_path(folder: str | None = None, name: str = VOCABULARY) -> str:
 
 
 class ByteBpe:
-    """Byte-level BPE whose tokens, put together, are the text's bytes.
-
-    A text is cut before single blanks between other characters, where no token ever crosses; equal pieces are encoded once.
-    """
+    """Byte-level BPE whose tokens, put together, are the text's bytes."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -37,25 +32,10 @@ class ByteBpe:
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.token_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
         self.token_bytes[list(ranks.values())] = [len(k) for k in ranks]
-        self.known: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> list[int]:
         """The token ids of the whole text."""
-        first, *rest = text.split(" ")
-        if "" in rest or not first:
-            return self.encoding.encode_ordinary(text)
-        known, encode = self.known, self.encoding.encode_ordinary
-        if len(known) > REMEMBERED:
-            known.clear()
-        out = list(encode(first))
-        for piece in rest:
-            ids = known.get(piece)
-            if ids is None:
-                ids = encode(" " + piece)
-                if len(piece) < 40:
-                    known[piece] = ids
-            out += ids
-        return out
+        return self.encoding.encode_ordinary(text)
 
 
 @lru_cache(maxsize=2)

@@ -8,6 +8,7 @@ row that still has room, found by a segment tree over the capacities.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +24,7 @@ from skylark.llm.bpe import END_OF_TEXT, tokenizer, vocabulary_path
 ROW_TOKENS = 2048
 #: Tokens that a task packs at a time.
 BLOCK_TOKENS = 2_000_000
-SCHEMA = "input_ids array<int>, cu_seqlens array<int>, position_ids array<int>, doc_ids array<bigint>, doc_starts array<bigint>, n_tokens int"
-ARROW = pa.schema([("input_ids", pa.list_(pa.int32())), ("cu_seqlens", pa.list_(pa.int32())), ("position_ids", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64())), ("n_tokens", pa.int32())])
+SCHEMA = "input_ids array<int>, cu_seqlens array<int>, doc_ids array<{}>, doc_starts array<bigint>, n_tokens int"
 
 
 class Capacities:
@@ -86,23 +86,27 @@ class Packer:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(vocabulary_path(self.path))
-        held, ids, starts, size = [], [], [], 0
+        held, ids, starts, size, kind = [], [], [], 0, pa.int64()
         for batch in batches:
+            kind = batch.column(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
-                tokens = np.array(bpe.encode(text) + ([] if self.end is None else [self.end]), np.int32)
+                encoded = array("i", bpe.encode(text))
+                if self.end is not None:
+                    encoded.append(self.end)
+                tokens = np.frombuffer(encoded, np.int32)
                 for at in range(0, len(tokens), self.row_tokens):
                     held.append(tokens[at : at + self.row_tokens])
                     ids.append(doc)
                     starts.append(at)
                 size += len(tokens)
                 if size >= self.block_tokens:
-                    yield from self.packed(held, ids, starts)
+                    yield from self.packed(held, ids, starts, kind)
                     held, ids, starts, size = [], [], [], 0
-        yield from self.packed(held, ids, starts)
+        yield from self.packed(held, ids, starts, kind)
 
-    def packed(self, pieces: list[np.ndarray], ids: list, starts: list[int]) -> Iterator[pa.RecordBatch]:
+    def packed(self, pieces: list[np.ndarray], ids: list, starts: list[int], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         rows = best_fit_decreasing([len(p) for p in pieces], self.row_tokens)
         for at in range(0, len(rows), 256):
             part = rows[at : at + 256]
@@ -113,19 +117,17 @@ class Packer:
             bounds = np.concatenate([[0], np.cumsum(counts)])
             totals = ends[bounds[1:]] - ends[bounds[:-1]]
             cumulative = np.concatenate([ends[a : b + 1] - ends[a] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-            resets = np.arange(ends[-1]) - np.repeat(ends[:-1], lengths)
             lists = lambda values, offsets, kind: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
             tokens = np.concatenate([[0], np.cumsum(totals)])
             yield pa.RecordBatch.from_arrays(
                 [
                     lists(np.concatenate([pieces[k] for k in order]), tokens, pa.int32()),
                     lists(cumulative, np.concatenate([[0], np.cumsum(counts + 1)]), pa.int32()),
-                    lists(resets, tokens, pa.int32()),
-                    lists([ids[k] for k in order], bounds, pa.int64()),
+                    lists([ids[k] for k in order], bounds, kind),
                     lists([starts[k] for k in order], bounds, pa.int64()),
                     pa.array(totals, pa.int32()),
                 ],
-                schema=ARROW,
+                ["input_ids", "cu_seqlens", "doc_ids", "doc_starts", "n_tokens"],
             )
 
 
@@ -134,12 +136,16 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, block_tokens: int = BLOC
     doc_ids and doc_starts (of each piece: its document and the first token's place in it) and n_tokens.
 
     A document's tokens are those of its whole text and the end token. Null and empty texts have none and are in no row. Repeated rows are packed each
-    time; a null id is null in doc_ids. Pieces that are cut from a document start anew at position 0; doc_starts puts them together again. No padding is written:
+    time; doc_ids have the type of the id column, and a null id is null there. Pieces that are cut from a document start anew at position 0; doc_starts puts them together again. No padding is written:
     n_tokens tells how much of row_tokens a row fills. An empty table gives an empty one; other columns are not read.
     """
     small_batches(docs.sparkSession)
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(Packer(tokenizers, row_tokens, block_tokens, end), SCHEMA)
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = narrow.mapInArrow(Packer(tokenizers, row_tokens, block_tokens, end), SCHEMA.format(docs.schema[doc_id].dataType.simpleString()))
+    # Positions follow from the segments' lengths: they are counted on the JVM's side, so that only half of the numbers come from Python.
+    lengths = F.transform(F.slice("cu_seqlens", F.lit(2), F.size("cu_seqlens") - 1), lambda e, k: e - F.get("cu_seqlens", k))
+    positions = F.flatten(F.transform(lengths, lambda n: F.sequence(F.lit(0), n - 1)))
+    return rows.select("input_ids", "cu_seqlens", positions.alias("position_ids"), "doc_ids", "doc_starts", "n_tokens")
 
 
 def write_matrix(packed: DataFrame, folder: str, row_tokens: int = ROW_TOKENS, pad: int = END_OF_TEXT) -> None:
