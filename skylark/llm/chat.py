@@ -10,11 +10,11 @@ each state to each state, a few numbers per partition. They are put together, an
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,9 @@ NAMES = {v: k for k, v in ROLES.items()}
 #: States that may follow a state.
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 NEVER = float("inf")
-SCHEMA = "place bigint, conv_id bigint, turn bigint, role string, text string, new_role string, op string, opens int, cost double, rendered string"
+#: Turns of a sequence of roles whose repair a worker remembers, and sequences that it remembers; then it starts afresh.
+REMEMBERED_TURNS, REMEMBERED = 64, 20_000
+SCHEMA = "place bigint, conv_id {}, turn {}, role string, text string, new_role string, op string, opens int, cost double, rendered string"
 
 
 @dataclass(frozen=True)
@@ -107,68 +109,103 @@ def fragments(texts: list, chosen: list, state: int, last: bool) -> list[str]:
 
 @dataclass
 class Repair:
-    """One task's work on sorted turns. fixed: for (partition, conversation) pieces of conversations over several partitions, the states before and after, and whether it is the last."""
+    """One task's work on sorted turns. fixed: for (partition, conversation) pieces of conversations over several partitions, the states before and after, and whether it is the last.
+
+    Ids and turn numbers stay Arrow arrays and are never numbers of Python's or of another type on their way.
+    """
 
     costs: Costs
     fixed: dict | None = None
     table: dict = field(default_factory=dict)
+    known: dict = field(default_factory=dict)
 
-    def pieces(self, frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, object, pd.DataFrame]]:
-        held: list[pd.DataFrame] = []
-        for frame in frames:
-            if not len(frame):
+    def pieces(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, object, list, list]]:
+        """(partition, conversation, roles, texts) of each run of turns of one conversation."""
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            keys = [None if pd.isna(k) else int(k) for k in frame["conv_id"]]
+            keys, roles, texts = (batch.column(c).to_pylist() if c in batch.schema.names else None for c in ("conv_id", "role", "text"))
             cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
             for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-                part = frame.iloc[a:b]
-                if held and self.key(held[-1]) != keys[a]:
-                    yield int(held[0]["part"].iloc[0]), self.key(held[0]), pd.concat(held)
-                    held = []
-                held.append(part)
+                if held and held[1] != keys[a]:
+                    yield held
+                    held = None
+                if held is None:
+                    held = (batch.column("part")[0].as_py(), keys[a], [], [])
+                held[2].extend(roles[a:b])
+                if texts:
+                    held[3].extend(texts[a:b])
         if held:
-            yield int(held[0]["part"].iloc[0]), self.key(held[0]), pd.concat(held)
+            yield held
 
-    @staticmethod
-    def key(frame: pd.DataFrame):
-        k = frame["conv_id"].iloc[0]
-        return None if pd.isna(k) else int(k)
-
-    def ends(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ends(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Costs from each state to each state for the first and the last piece of the partition."""
-
-        def row(part, conv, piece, number):
-            roles = [None if pd.isna(r) else r for r in piece["role"]]
-            return {"part": part, "number": number, "conv_id": conv, "costs": [c for s in range(4) for c in cheapest(roles, s, self.costs, self.table)[0]]}
-
-        number, latest, rows = 0, None, []
-        for number, (part, conv, piece) in enumerate(self.pieces(frames)):
-            latest = (part, conv, piece, number)
-            if not number:
-                rows.append(row(*latest))
-        if number:
-            rows.append(row(*latest))
-        out = pd.DataFrame(rows, columns=["part", "number", "conv_id", "costs"])
-        out["conv_id"] = out["conv_id"].astype("Int64")
-        yield out
-
-    def repaired(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, conv, piece in self.pieces(frames):
-            start, end, last = self.fixed.get((part, conv), (START, None, True))
-            roles, texts = ([None if pd.isna(v) else v for v in piece[c]] for c in ("role", "text"))
+        first = last = None
+        kind = pa.null()
+
+        def typed():
+            nonlocal kind
+            for batch in batches:
+                kind = batch.column("conv_id").type
+                yield batch
+
+        for number, (part, conv, roles, _) in enumerate(self.pieces(typed())):
+            last = (part, number, conv, roles)
+            first = first or last
+        rows = [] if first is None else [first] if first is last else [first, last]
+        if rows:
+            costs = [[c for s in range(4) for c in cheapest(roles, s, self.costs, self.table)[0]] for *_, roles in rows]
+            columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], kind), pa.array(costs, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "number", "conv_id", "costs"])
+
+    def chosen(self, roles: list, start: int, end: int | None) -> list:
+        """The cheapest steps; those of short sequences of roles are remembered."""
+        key = (*roles, start, end) if len(roles) <= REMEMBERED_TURNS else None
+        found = self.known.get(key)
+        if found is None:
             now, back = cheapest(roles, start, self.costs, self.table)
             if end is None:
                 end = min(range(4), key=lambda s: now[s] + end_cost(s, self.costs))
-            chosen = path(back, end)
-            spent = [s[2] for s in chosen]
+            found = path(back, end)
+            if key:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[key] = found
+        return found
+
+    def repaired(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: deque[pa.RecordBatch] = deque()
+        done: list[list] = [[], [], [], [], []]
+
+        def noted():
+            for batch in batches:
+                if batch.num_rows:
+                    waiting.append(batch)
+                    yield batch
+
+        for part, conv, roles, texts in self.pieces(noted()):
+            start, end, last = self.fixed.get((part, conv), (START, None, True))
+            steps_of = self.chosen(roles, start, end)
+            done[0] += [NAMES[s[1]] for s in steps_of]
+            done[1] += [s[3] for s in steps_of]
+            done[2] += [0 if s[0] == s[1] and not s[4] else 1 + len(s[4]) for s in steps_of]
+            done[3] += [s[2] for s in steps_of]
             if last:
-                spent[-1] += end_cost(end, self.costs)
-            out = pd.DataFrame({"place": piece["place"].to_numpy(), "conv_id": piece["conv_id"].astype("Int64").to_numpy(), "turn": piece["turn"].astype("Int64").to_numpy(), "role": roles, "text": texts})
-            out["new_role"] = [NAMES[s[1]] for s in chosen]
-            out["op"] = [s[3] for s in chosen]
-            out["opens"] = [0 if s[0] == s[1] and not s[4] else 1 + len(s[4]) for s in chosen]
-            out["cost"], out["rendered"] = spent, fragments(texts, chosen, start, last)
-            yield out
+                done[3][-1] += end_cost(steps_of[-1][1], self.costs)
+            done[4] += fragments(texts, steps_of, start, last)
+            while waiting and len(done[0]) >= waiting[0].num_rows:
+                yield self.joined(waiting.popleft(), done)
+        while waiting and len(done[0]) >= waiting[0].num_rows:
+            yield self.joined(waiting.popleft(), done)
+
+    @staticmethod
+    def joined(batch: pa.RecordBatch, done: list[list]) -> pa.RecordBatch:
+        n, given = batch.num_rows, ("place", "conv_id", "turn", "role", "text")
+        columns = [pa.array(column[:n], kind) for column, kind in zip(done, (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.string()), strict=True)]
+        for column in done:
+            del column[:n]
+        return pa.RecordBatch.from_arrays([batch.column(c) for c in given] + columns, [*given, "new_role", "op", "opens", "cost", "rendered"])
 
 
 def joined(rows: list, costs: Costs) -> dict:
@@ -197,16 +234,18 @@ def repair_roles(turns: DataFrame, costs: Costs = Costs(), conv_id: str = "conv_
     """One row for every turn, with place (grows along each conversation), new_role, op (keep, relabel, merge, insert, or relabel with one of these), opens (turns that begin here, inserted ones included),
     cost (of this turn's repair; the last one's includes that of the end) and rendered (its part of the formatted conversation).
 
-    Turns follow each other by turn number, null first, ties by role and text. A null conversation id is a conversation of its own. A null or unknown role is named at a low cost; a null text is
-    empty. Repeated rows are turns. Of equally cheap repairs a fixed order of operations decides. Other columns are left out; an empty table gives an empty one.
+    Turns follow each other by turn number, null first, ties by role and text. Ids and turn numbers keep their types. A null conversation id is a conversation of its own. A null or unknown role
+    is named at a low cost; a null text is empty. Repeated rows are turns. Of equally cheap repairs a fixed order of operations decides. Other columns are left out; an empty table gives an empty one.
+    A conversation's turns within one partition are held together; one that is longer than a partition is cut by the range of its turns.
     """
     small_batches(turns.sparkSession, 5000)
-    rows = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
+    rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
     order = ["conv_id", "turn", "role", "text"]
     spread = rows.repartitionByRange(*order) if partitions is None else rows.repartitionByRange(partitions, *order)
     held = checkpointed(spread.sortWithinPartitions(*order).withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}))
-    ends = held.select("part", "conv_id", "role").mapInPandas(Repair(costs).ends, "part int, number int, conv_id bigint, costs array<double>")
-    return held.mapInPandas(Repair(costs, joined([r.asDict() for r in ends.collect()], costs)).repaired, SCHEMA)
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("conv_id", "turn")]
+    ends = held.select("part", "conv_id", "role").mapInArrow(Repair(costs).ends, f"part int, number int, conv_id {kinds[0]}, costs array<double>")
+    return held.mapInArrow(Repair(costs, joined([r.asDict() for r in ends.collect()], costs)).repaired, SCHEMA.format(*kinds))
 
 
 def render(repaired: DataFrame) -> DataFrame:

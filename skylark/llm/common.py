@@ -15,8 +15,11 @@ BATCH_ROWS = 400
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what a Python worker holds: plans made from now on send at most so many rows a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound what a Python worker holds: plans made from now on send at most so many rows a batch. A session's lower bound stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

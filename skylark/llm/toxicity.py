@@ -55,7 +55,7 @@ def word_keys(text: str | None) -> list[int]:
 
 @dataclass
 class Link:
-    """One category's model: its words' weights, those of earlier log odds, and the intercept."""
+    """One category's model: its words' weights, those of earlier categories' probabilities, and the intercept."""
 
     words: np.ndarray
     weights: np.ndarray
@@ -111,8 +111,8 @@ def fit_chain(flat: np.ndarray, lengths: np.ndarray, y: np.ndarray, words: int =
             if f is None:
                 chain.append(link)
             else:
-                out_of_fold[~use] = link.odds(x[~use][:, : len(chosen)], earlier[~use])
-        earlier = np.hstack([earlier, np.clip(out_of_fold, -8, 8)[:, None]])
+                out_of_fold[~use] = sigmoid(link.odds(x[~use][:, : len(chosen)], earlier[~use]))
+        earlier = np.hstack([earlier, out_of_fold[:, None]])
     return chain
 
 
@@ -141,8 +141,8 @@ class Predictor:
                     present[r, k] = 1
         earlier = np.zeros((len(texts), 0))
         for link, places in zip(self.chain, self.places, strict=True):
-            earlier = np.hstack([earlier, np.clip(link.odds(present[:, places], earlier), -8, 8)[:, None]])
-        return sigmoid(earlier)
+            earlier = np.hstack([earlier, sigmoid(link.odds(present[:, places], earlier))[:, None]])
+        return earlier
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], each: int, text: str, doc_id: str, seed: int) -> pa.Table:

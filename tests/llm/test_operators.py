@@ -184,6 +184,37 @@ def test_op4_finds_toxic_documents(spark):
     assert np.mean([rows[i].toxic for i in clean if i in rows]) < 0.02
 
 
+def test_toxicity_equals_a_plain_chain(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = queries.toxicity_labels(spark.read.parquet(f"{SF}/labels.parquet"))
+    chain = toxicity.fit(docs, labels, queries.CATEGORIES)
+    for r in toxicity.classify(docs, chain, queries.CATEGORIES).collect():
+        keys, earlier = set(toxicity.word_keys(r.text)), []
+        for name, link in zip(queries.CATEGORIES, chain, strict=True):
+            x = [float(int(k) in keys) for k in link.words] + earlier + [1.0]
+            earlier.append(1 / (1 + np.exp(-sum(a * b for a, b in zip(x, link.weights, strict=True)))))
+            assert r[f"p_{name}"] == pytest.approx(earlier[-1], abs=1e-9)
+
+
+def test_toxicity_trains_on_out_of_fold_probabilities(monkeypatch):
+    """The later model's training column holds, for every row, the probability by a model fitted without that row's fold."""
+    seen, own = [], toxicity.logistic
+    monkeypatch.setattr(toxicity, "logistic", lambda x, y, ridge: seen.append((x, y)) or own(x, y, ridge))
+    draw = random.Random(8)
+    keys = [np.array(sorted({draw.randrange(6), 20 + draw.randrange(6)}), np.uint64) for _ in range(80)]
+    first = np.array([float(0 in k or draw.random() < 0.2) for k in keys])
+    toxicity.fit_chain(np.concatenate(keys), np.array(list(map(len, keys))), np.stack([first, first], 1), words=8)
+    rows, fold = toxicity.Rows(np.concatenate(keys), np.array(list(map(len, keys)))), toxicity.folds(80, toxicity.FOLDS)
+    want = np.zeros(80)
+    for f in range(toxicity.FOLDS):
+        use = fold != f
+        x = rows.present(rows.chosen(first, use, 8))
+        w = own(x[use], first[use], toxicity.RIDGE)
+        want[~use] = 1 / (1 + np.exp(-(x[~use] @ w[:-1] + w[-1])))
+    column = seen[-1][0][:, -1]
+    assert column == pytest.approx(want) and ((0 < column) & (column < 1)).all()
+
+
 def test_toxicity_chain_feeds_earlier_categories_and_odd_rows(spark):
     keys = [np.array(sorted({k % 7, 50 + k % 3}), np.uint64) for k in range(60)]
     y = np.array([[k % 7 == 0, k % 7 == 0 and k % 3 == 0] for k in range(60)], float)
@@ -228,7 +259,21 @@ def test_tiling_equals_brute_force():
             assert len(used) == len(set(used)) and all(k < len(text) for k in used)
         assert [t[2] for t in tiles] == sorted((t[2] for t in tiles), reverse=True)
         if tiles:
-            assert abs(sum(t[2] for t in tiles) - plain_tiles(a, b, 3)) <= 3  # ties may be taken in another order
+            assert sum(t[2] for t in tiles) == plain_tiles(a, b, 3)
+
+
+def test_tiling_ends_on_sequences_that_hash_alike():
+    """A Thue-Morse block and its complement have equal polynomial hashes modulo powers of two."""
+    block, around = [bin(k).count("1") % 2 for k in range(2048)], [f"w{k}" for k in range(3000)]
+    a, b = (around + [names[t] for t in block] + around[::-1] for names in ("pq", "qp"))
+    tiles = decontaminate.tile(a, b)
+    assert all(a[i : i + n] == b[j : j + n] for i, j, n in tiles) and sum(n for _, _, n in tiles) >= 6000
+
+
+def test_tiling_goes_on_below_a_length_at_which_only_hashes_agree(monkeypatch):
+    monkeypatch.setattr(decontaminate.KarpRabin, "windows", lambda self, n: np.zeros(max(0, len(self.parts[0][1]) - n), np.uint64))
+    a, b = "a b c d e f g".split(), "x a b c d y e f g".split()
+    assert decontaminate.tile(a, b, 3) == [(0, 1, 4), (4, 6, 3)]
 
 
 def test_op5_equals_brute_force_and_catches_reordered_passages(spark):
@@ -242,7 +287,7 @@ def test_op5_equals_brute_force_and_catches_reordered_passages(spark):
             grams = {tuple(words[k : k + 4]) for k in range(len(words))}
             near = [w for _, w in items if any(tuple(w[k : k + 4]) in grams for k in range(len(w) - 3))]
             best = max((plain_tiles(words, w, 4) / len(w) for w in near), default=0)
-            assert got[i].coverage == pytest.approx(best, abs=0.15) and got[i].contaminated == (got[i].coverage >= 0.5)
+            assert got[i].coverage == pytest.approx(best, abs=1e-12) and got[i].contaminated == (got[i].coverage >= 0.5)
     item = "the quick brown fox jumps over a lazy dog while seven wizards mix potions by the old mill stream"
     w = item.split()
     texts = [(1, "zz " * 50 + " ".join(w[9:]) + " yy " * 30 + " ".join(w[:9]).upper()), (2, "nothing to see here at all in this text"), (3, None), (4, " ".join(w[:5]))]
@@ -250,8 +295,11 @@ def test_op5_equals_brute_force_and_catches_reordered_passages(spark):
     bench = spark.createDataFrame([(9, item), (8, item), (7, None), (6, "a b")], "item_id long, text string")
     rows = {r.doc_id: r for r in decontaminate.decontaminate(frame, bench).collect()}
     assert [rows[k].contaminated for k in (1, 2, 3, 4)] == [True, False, False, False] and rows[1].item_id == 8
-    many = {r.doc_id: r.contaminated for r in decontaminate.decontaminate(frame, bench, block_chars=10).collect()}
-    assert many == {k: r.contaminated for k, r in rows.items()}
+    # A table so small that it lets every stretch through changes nothing; nor do repeated rows and ids of another type.
+    named = bench.withColumn("item_id", F.concat(F.lit("n"), "item_id"))
+    many = decontaminate.decontaminate(frame.unionAll(frame), named, bits=32).collect()
+    assert sorted((r.doc_id, r.contaminated, r.coverage, r.item_id) for r in many if r.item_id) == sorted((k, r.contaminated, r.coverage, f"n{r.item_id}") for k, r in rows.items() if r.item_id for _ in "ab")
+    assert len(many) == 8
     assert decontaminate.decontaminate(frame, bench.where("false")).where("contaminated").count() == 0
 
 
@@ -298,6 +346,16 @@ def test_op6_repairs_at_least_cost(spark):
     assert chat.repair_roles(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_chat_keeps_ids_as_they_are(spark, kind):
+    big = [9007199254740993, 9007199254740994]
+    ids = {"long": [*big, None], "string": ["x1", "\u00fc", None]}[kind]
+    rows = [(c, t, r, "y" * 100_000) for c in ids for t, r in ((big[0], "user"), (big[1], "assistant"))]
+    got = chat.repair_roles(spark.createDataFrame(rows, f"conv_id {kind}, turn long, role string, text string"), partitions=1).collect()
+    assert sorted((r.conv_id or "", r.turn, r.role) if kind == "string" else (r.conv_id or 0, r.turn, r.role) for r in got) == sorted((c or ("" if kind == "string" else 0), t, r) for c, t, r, _ in rows)
+    assert {(r.op, r.cost) for r in got} == {("keep", 0.0)}
+
+
 def test_chat_conversation_over_many_partitions(spark):
     roles = ["user", "user", "assistant", "system", None, "assistant"] * 200
     frame = spark.createDataFrame([(1, k, r, f"t{k}") for k, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
