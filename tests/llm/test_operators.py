@@ -478,6 +478,36 @@ def test_op8_extracts_articles(spark):
     assert html.fit(odd) is None and html.main_text(odd, None).count() == 5 and html.main_text(odd.where("false"), model).count() == 0
 
 
+UNCLOSED = {
+    "<html><head><title>t</title><h1>Head</h1><p>Text": ["Head", "Text"],
+    "<head><meta charset=x><style>a{}</style>Text": ["Text"],
+    "<title>t</title><script>x<y</script><p>a": ["a"],
+    "<head><title>t</title></head>\n<p>a<p>b": ["a", "b"],
+    "<div>a<button>Go<p>b</div>c": ["a", "b", "c"],
+    "<div>a<button>Go</div>b": ["a", "b"],
+    "<div>a<button><div>Go</div></button>b</div>": ["ab"],
+    "<p>a<select><option>x<option>y<p>b": ["a", "b"],
+    "<p>a<select><option>x<option>y</select><p>b": ["a", "b"],
+    "<p>a<svg><g><p>b<svg><text>x</text></svg>c": ["a", "bc"],
+    "<p>a<noscript><p>x</noscript><p>b": ["a", "b"],
+    "<p>a<script>x <p>y": ["a"],
+    "<head><noscript><p>x</p></noscript></head><body><p>a": ["a"],
+}
+
+
+def test_omitted_and_unclosed_tags_lose_no_text():
+    for page, runs in UNCLOSED.items():
+        assert [" ".join(t.split()) for t in html.Tree(page).text if t] == runs, page
+
+
+def test_op8_fits_without_articles_and_on_repeated_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    plain = pages.withColumn("html", F.regexp_replace("html", "(?i)<(/?)article", "<$1div"))
+    model = html.fit(plain.unionAll(plain), sample=20)
+    assert html.extract("<div><p>" + "A paragraph that is long enough to be the main text, as it seems. " * 4 + "</p></div><nav><a href=x>menu</a></nav>", model).endswith("seems.")
+    assert html.fit(plain.where("false")) is None
+
+
 def test_decoding_is_consistent():
     draw = random.Random(6)
     tree = html.Tree(PAGE)
