@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written to the cluster's checkpoint folder and read back; lineage ends there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir. Only a local session may leave it unset: a local folder is made then."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return folder or tempfile.mkdtemp(prefix="checkpoint-")
+
 
-    spark.checkpoint.dir is read from the session; only where it is unset, as in tests, a folder is made.
-    """
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder and read back; lineage ends there."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()
