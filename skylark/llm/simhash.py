@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylark.llm.common import checkpointed, fresh, small_batches
+from skylark.operators.graph import components
 
 BITS = 64
 #: Bits of a segment of the embedding.
@@ -119,33 +120,6 @@ def links(fps: DataFrame, max_bits: int = 2, dense: int = DENSE_CELL) -> DataFra
     return pairs.unionByName(stars).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that the links a, b reach, for each node that has a link.
-
-    Alternating large-star and small-star steps, so that the rounds grow with the logarithm of a path's length; a node of
-    very many links is grouped by partial minima only, and each round ends in a checkpoint.
-    """
-
-    def least(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.min("v").alias("m"))
-
-    now = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = least(both).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = least(large)
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        now = checkpointed(small)
-        state = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before:
-            break
-        before = state
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
 def _fingerprints(docs: DataFrame, text: str, doc_id: str, shingle: int, seed: int) -> DataFrame:
     small_batches(docs.sparkSession)
     return checkpointed(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle, seed).alias("fp")))
