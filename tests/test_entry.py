@@ -7,7 +7,7 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
-def listed(before=""):
+def listed(before="pass"):
     code = f"import sys; {before}; import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(' '.join(q))"
     return subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout.split()
 
