@@ -58,3 +58,19 @@ def part_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PART_ORDERS = "part_orders AS (SELECT DISTINCT l_partkey AS actor_id, l_orderkey AS event_id, CAST(o_orderdate AS DATE) AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+#: Characters of a report's title and of its summary, which are fields of bounded length.
+TITLE, SUMMARY = 80, 200
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals with text: a document, with time, place, actor and status of the event of its number."""
+    s = signals(spark, sf_dir).select("signal_id", "ts", "actor_id", "stream", "status", "is_priority", "value", "lat", "lng")
+    line = F.split("text", "\n", 2)[0]
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("signal_id"), "source", "text", F.substring(line, 1, TITLE).alias("title"), F.substring("text", 1, SUMMARY).alias("summary"))
+    return d.join(s, "signal_id")
+
+
+REPORTS = f"""{SIGNALS}, reports AS (SELECT s.signal_id, d.source, d.text, substr(split_part(d.text, chr(10), 1), 1, {TITLE}) AS title, substr(d.text, 1, {SUMMARY}) AS summary, s.ts, s.actor_id, s.stream, s.status, s.is_priority, s.value, s.lat, s.lng
+FROM documents d JOIN signals s ON s.signal_id = d.doc_id WHERE d.text IS NOT NULL)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skylark.plans import cases, engines, feeds, graphs, kernels, relational, streams, texts, windows  # noqa: F401  each registers its queries
+from skylark.plans import cases, engines, feeds, flags, graphs, kernels, relational, streams, texts, windows  # noqa: F401  each registers its queries
 from skylark.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "g10_decay_report"
