@@ -39,6 +39,25 @@ def spacetime_pairs(points: DataFrame, max_km: float, max_hours: float, step: fl
     return found.where((F.col("distance_km") <= max_km) & (F.col("hours") <= max_hours))
 
 
+def within_km(left: DataFrame, right: DataFrame, one: tuple[str, str], two: tuple[str, str], km: float) -> DataFrame:
+    """Rows of left and right whose points (latitude, longitude columns) lie within km, with distance_km; rows without a point have no partner.
+
+    An equi-join on grid cells as wide as the radius; right goes to the cells next to its own, more of them in longitude towards the poles, and around the date line.
+    """
+    step = km / KM_PER_DEGREE
+    around = max(1, int(360 / step))
+    lat, lng = (F.col(c) for c in two)
+    column = lambda x: F.floor((x + 180) / 360 * around).cast("long")
+    high = F.least(F.abs(lat) + step, F.lit(89.0))
+    # Wider than the radius by a little: the half-width in longitude of a circle is the arc sine of this ratio at most.
+    reach = F.least(F.lit(around // 2), F.ceil(1.02 / F.cos(F.radians(high)))).cast("int")
+    a = left.where(F.col(one[0]).isNotNull() & F.col(one[1]).isNotNull()).withColumns({"_y": cell(F.col(one[0]), step), "_x": F.pmod(column(F.col(one[1])), F.lit(around))})
+    b = right.where(lat.isNotNull() & lng.isNotNull()).withColumn("_y", neighbours(cell(lat, step)))
+    b = b.withColumn("_x", F.explode(F.array_distinct(F.transform(F.sequence(-reach, reach), lambda d: F.pmod(column(lng) + d, F.lit(around))))))
+    found = a.join(b, ["_y", "_x"]).drop("_y", "_x").withColumn("distance_km", haversine_km(F.col(one[0]), F.col(one[1]), lat, lng))
+    return found.where(F.col("distance_km") <= km)
+
+
 def box_exists(left: DataFrame, right: DataFrame, half: float, how: str = "left_semi") -> DataFrame:
     """Rows of left (lat, lng) that have (left_semi) or lack (left_anti) a row of right within +-half degrees in both."""
     spots = right.select(F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), neighbours(cell(F.col("lat"), half)).alias("_y"), cell(F.col("lng"), half).alias("_cx"))
