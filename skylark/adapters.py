@@ -1,11 +1,11 @@
 """Signal-shaped views of the given tables, and the same views as SQL for the oracle.
 
-No table has coordinates; these come from integer arithmetic on ids that both engines do alike.
+No table has coordinates; these come from integer arithmetic on ids that both engines do alike. Two thirds of the signals lie about a place of their actor, the others anywhere.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def place(factor: int, width: int, start: float) -> Column:
+    """A coordinate in hundredths of a degree."""
+    about = (F.col("user_id") * factor + F.col("event_id") * 31 % 40) % width
+    return F.lit(start) + F.when(F.col("event_id") % 3 == 0, F.col("event_id") * factor % width).otherwise(about) / F.lit(100.0)
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     stream = F.when(F.col("event_type") == "error", "CRIME_INTEL").when(F.col("event_type") == "purchase", "PRIORITY").when(F.col("event_type") == "signup", "INFRASTRUCTURE").otherwise("GLOBAL")
@@ -29,8 +35,8 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream.alias("stream"),
         status.alias("status"),
         F.when(F.col("event_id") % 10 == 0, "seed").otherwise("live").alias("source_type"),
-        (F.lit(-35.0) + (F.col("event_id") * 7919 % 1300) / F.lit(100.0)).alias("lat"),
-        (F.lit(16.0) + (F.col("event_id") * 104729 % 1700) / F.lit(100.0)).alias("lng"),
+        place(7919, 1300, -35.0).alias("lat"),
+        place(104729, 1700, 16.0).alias("lng"),
     )
 
 
@@ -39,8 +45,8 @@ CASE WHEN value >= 100 THEN 1 ELSE 0 END AS is_priority,
 CASE event_type WHEN 'error' THEN 'CRIME_INTEL' WHEN 'purchase' THEN 'PRIORITY' WHEN 'signup' THEN 'INFRASTRUCTURE' ELSE 'GLOBAL' END AS stream,
 CASE WHEN event_id % 7 = 0 THEN 'dismissed' WHEN event_id % 5 = 0 THEN 'promoted' ELSE 'raw' END AS status,
 CASE WHEN event_id % 10 = 0 THEN 'seed' ELSE 'live' END AS source_type,
-CAST(-35 AS DOUBLE) + CAST(event_id * 7919 % 1300 AS DOUBLE) / CAST(100 AS DOUBLE) AS lat,
-CAST(16 AS DOUBLE) + CAST(event_id * 104729 % 1700 AS DOUBLE) / CAST(100 AS DOUBLE) AS lng FROM events)"""
+CAST(-35 AS DOUBLE) + CAST(CASE WHEN event_id % 3 = 0 THEN event_id * 7919 % 1300 ELSE (user_id * 7919 + event_id * 31 % 40) % 1300 END AS DOUBLE) / CAST(100 AS DOUBLE) AS lat,
+CAST(16 AS DOUBLE) + CAST(CASE WHEN event_id % 3 = 0 THEN event_id * 104729 % 1700 ELSE (user_id * 104729 + event_id * 31 % 40) % 1700 END AS DOUBLE) / CAST(100 AS DOUBLE) AS lng FROM events)"""
 
 
 def actor_events(spark: SparkSession, sf_dir: str) -> DataFrame:

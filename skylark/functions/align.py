@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def jaro(a: str, b: str) -> float:
-    """Share of characters that match within half the longer string, less half the transpositions."""
+def jaro(a: str, b: str, whole: bool = True) -> float:
+    """Share of characters that match within half the longer string, less half the transpositions; whole: an odd one of these doesn't count."""
     if a == b:
         return 1.0
     if not a or not b:
@@ -24,13 +24,15 @@ def jaro(a: str, b: str) -> float:
     if not left:
         return 0.0
     right = [c for c, t in zip(b, taken, strict=True) if t]
-    swaps = sum(x != y for x, y in zip(left, right, strict=True)) // 2
+    swaps = sum(x != y for x, y in zip(left, right, strict=True)) / 2
+    if whole:
+        swaps = int(swaps)
     m = len(left)
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
 
 
-def winkler(a: str, b: str, weight: float = 0.1, longest: int = 4) -> float:
-    base, same = jaro(a, b), 0
+def winkler(a: str, b: str, weight: float = 0.1, longest: int = 4, whole: bool = True) -> float:
+    base, same = jaro(a, b, whole), 0
     for x, y in zip(a[:longest], b[:longest], strict=False):
         if x != y:
             break
@@ -42,3 +44,9 @@ def winkler(a: str, b: str, weight: float = 0.1, longest: int = 4) -> float:
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler similarity; null if either is."""
     return pd.Series([None if x is None or y is None else winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def jaro_winkler_exact(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Jaro-Winkler similarity in which an odd transposition counts as half of one; null if either is."""
+    return pd.Series([None if x is None or y is None else winkler(x, y, whole=False) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -119,18 +119,20 @@ def g16_pair_alerts(spark, sf):
 
 
 @query(f"""WITH {SIGNALS} SELECT CAST(floor(lat) AS BIGINT) AS y, CAST(floor(lng / 2) AS BIGINT) AS x, count(*) AS n, round(least(1.0, least(0.5 + 0.05 * count(*), 0.85) + 0.15 * (count(DISTINCT source) - 1)), 4) AS confidence, round(avg(lat), 5) AS lat, round(avg(lng), 5) AS lng
-FROM signals WHERE source <> 'click' AND ts >= TIMESTAMP '2024-01-29 00:00:00' GROUP BY 1, 2 HAVING count(*) >= 3""")
+FROM signals WHERE source <> 'click' AND ts >= TIMESTAMP '2024-01-29 00:00:00' GROUP BY 1, 2 HAVING count(*) >= 5""")
 def g17_cell_alerts(spark, sf):
     s = signals(spark, sf).where("source <> 'click' and ts >= timestamp'2024-01-29 00:00:00'")
-    cells = s.groupBy(F.floor("lat").alias("y"), F.floor(F.col("lng") / 2).alias("x")).agg(count().alias("n"), F.countDistinct("source").alias("k"), F.round(F.avg("lat"), 5).alias("lat"), F.round(F.avg("lng"), 5).alias("lng")).where("n >= 3")
+    cells = s.groupBy(F.floor("lat").alias("y"), F.floor(F.col("lng") / 2).alias("x")).agg(count().alias("n"), F.countDistinct("source").alias("k"), F.round(F.avg("lat"), 5).alias("lat"), F.round(F.avg("lng"), 5).alias("lng")).where("n >= 5")
     conf = F.least(F.lit(1.0), F.least(0.5 + 0.05 * F.col("n"), F.lit(0.85)) + 0.15 * (F.col("k") - 1))
     return cells.select("y", "x", "n", F.round(conf, 4).alias("confidence"), "lat", "lng")
 
 
-@query(f"WITH {SIGNALS} SELECT source, round((epoch_us(TIMESTAMP '{AS_OF}') - max(epoch_us(ts))) / 3.6e9, 3) AS gap_hours FROM signals GROUP BY source HAVING (epoch_us(TIMESTAMP '{AS_OF}') - max(epoch_us(ts))) / 3.6e9 >= 24")
+@query(f"""WITH {SIGNALS} SELECT source, actor_id, round((epoch_us(TIMESTAMP '{AS_OF}') - max(epoch_us(ts))) / 3.6e9, 3) AS gap_hours FROM signals WHERE actor_id IS NOT NULL
+GROUP BY source, actor_id HAVING (epoch_us(TIMESTAMP '{AS_OF}') - max(epoch_us(ts))) / 3.6e9 >= 24""")
 def g19_stalls(spark, sf):
+    """Feeds, here of a source and an actor each, that have been silent for a day or more."""
     gap = scores.hours_between(as_of(), F.col("last"))
-    return signals(spark, sf).groupBy("source").agg(F.max("ts").alias("last")).where(gap >= 24).select("source", F.round(gap, 3).alias("gap_hours"))
+    return signals(spark, sf).where("actor_id is not null").groupBy("source", "actor_id").agg(F.max("ts").alias("last")).where(gap >= 24).select("source", "actor_id", F.round(gap, 3).alias("gap_hours"))
 
 
 @query(f"WITH {SIGNALS} SELECT stream, count(*) AS n, round(avg(CASE WHEN source = 'error' THEN least(k / 9.0, 1.0) WHEN source = 'purchase' THEN least(value / 500.0, 1.0) WHEN is_priority = 1 THEN 0.7 ELSE 0.5 END), 4) AS intensity FROM signals GROUP BY stream")
