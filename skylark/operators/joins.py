@@ -84,17 +84,20 @@ def name_blocks(names: DataFrame, name: str) -> DataFrame:
 
 
 def top_share_cut(df: DataFrame, value: str, share: float) -> float | None:
-    """The value at place max(0, int(n * share) - 1) of the descending order, from 0; null values count as the lowest.
+    """The value at place max(0, int(n * share) - 1) of the descending order, from 0; null values count as the lowest."""
+    return value_at(df, value, max(0, int(df.count() * share) - 1))
+
+
+def value_at(df: DataFrame, value: str, place: int) -> float | None:
+    """The value at a place of the descending order, from 0; null beyond the values.
 
     Equal values are counted first. Range partitions of these counts are added up, and only the partition in which the place falls is ordered: no step sorts or holds all rows.
     """
-    n = df.count()
-    place = max(0, int(n * share) - 1)
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     held = checkpointed(counts.repartitionByRange(F.desc("v")).withColumn("part", F.spark_partition_id()))
     before = 0
     for part, size in sorted(tuple(r) for r in held.groupBy("part").agg(F.sum("n")).collect()):
-        if place < before + size:
+        if 0 <= place < before + size:
             along = Window.partitionBy("part").orderBy(F.desc("v"))
             found = held.where(F.col("part") == part).withColumn("upto", F.sum("n").over(along))
             return found.where(F.col("upto") > place - before).agg(F.max("v")).first()[0]

@@ -48,9 +48,12 @@ def p09_keyword_any(spark, sf):
     return table(spark, sf, "documents").where(low.contains("license") | low.contains("token") | low.contains("reserved")).select("doc_id", "lang")
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE instr('ports of germany, france and japan; egypt', lower(n_name)) > 0")
+REPORT = "ships left nation_3 for nation_17 by way of nation_20"
+
+
+@query(f"SELECT n_nationkey, n_name FROM nation WHERE '{REPORT}' LIKE '%' || lower(n_name) || '%'")
 def p10_reverse_like(spark, sf):
-    return table(spark, sf, "nation").where(F.instr(F.lit("ports of germany, france and japan; egypt"), F.lower("n_name")) > 0).select("n_nationkey", "n_name")
+    return table(spark, sf, "nation").where(F.instr(F.lit(REPORT), F.lower("n_name")) > 0).select("n_nationkey", "n_name")
 
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal >= 7500 THEN 'CRITICAL' WHEN c_acctbal >= 5000 THEN 'HIGH' WHEN c_acctbal >= 2500 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM customer")

@@ -15,7 +15,10 @@ def db():
 
 @pytest.mark.parametrize("name", sorted(own.oracle_sql()))
 def test_query_equals_its_sql(spark, db, name):
-    assert oracle.differences(own.queries()[name](spark, SF), db, own.oracle_sql()[name]) == ""
+    df = own.queries()[name](spark, SF)
+    assert oracle.differences(df, db, own.oracle_sql()[name]) == ""
+    # What compares nothing proves nothing; names so alike are met in the next larger tables only.
+    assert name == "j18_fuzzy_names" or not df.isEmpty()
 
 
 def test_simhash_of_words_by_md5(spark):
