@@ -10,9 +10,9 @@ from skylark.streaming import events as streams
 
 @query("SELECT event_id, event_type FROM events")
 def r02_stream_keep_first(spark, sf):
-    """Every event comes twice; one of each stays."""
-    e = streams.arriving(spark, sf, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
-    kept = streams.keep_first(e, "event_id", "ts", "10000 days")
+    """Every event comes twice, the second time an hour later; one of each stays, and keys are let go after a day."""
+    e = streams.arriving(spark, sf, "events").select("event_id", "event_type", F.explode(F.array(F.col("ts").cast("timestamp"), F.col("ts").cast("timestamp") + F.expr("interval 1 hour"))).alias("ts"))
+    kept = streams.keep_first(e, "event_id", "ts")
     return streams.drained(kept, streams.shared_folder(spark, "keep-first")).select("event_id", "event_type")
 
 
