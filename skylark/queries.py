@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skylark.plans import cases, context, engines, feeds, flags, graphs, kernels, ledger, names, network, notices, relational, streams, texts, windows  # noqa: F401  each registers its queries
+from skylark.plans import cases, context, engines, feeds, flags, graphs, kernels, ledger, names, network, notices, relational, streams, surveyed, texts, windows  # noqa: F401  each registers its queries
 from skylark.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "g10_decay_report"
