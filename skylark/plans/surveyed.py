@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skylark.adapters import REPORTS, reports, table
+from skylark.adapters import REPORTS, SIGNALS, reports, signals, table
+from skylark.functions import parse
 from skylark.functions import text as T
 from skylark.operators import graph
 from skylark.params import Coalition
 from skylark.plans.cases import OWNED, owned
 from skylark.plans.engines import correlated
+from skylark.plans import kernels  # noqa: F401  its SQL is used
 from skylark.plans.graphs import LINKS, supplier_links
 from skylark.plans.network import DISTANCE
-from skylark.plans.registry import query
+from skylark.plans.registry import SQL, query
 from skylark.plans.texts import STOPS
 from skylark.session import checkpointed
 
@@ -134,3 +136,31 @@ def j16_gazetteer_matches(spark, sf):
     met = low.join(maybe, "doc_id").select("doc_id", F.explode(F.filter("names", lambda n: F.instr(F.col("low"), n["name"]) > 0)).alias("n")).select("doc_id", "n.*")
     best = F.min_by(F.struct("name", "place"), F.struct(-F.char_length("name"), "name"))
     return met.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.name", "b.place")
+
+
+DIRTY = r"<[^>]+>|&[a-z]+;|[#*$%]{3,}"
+
+
+CLEAN = SQL["t02_sanitise"].split("SELECT doc_id, ")[1].split(" AS clean")[0]
+
+
+@query(f"SELECT doc_id, regexp_matches(text, '{DIRTY}') AS dirty, md5(CASE WHEN regexp_matches(text, '{DIRTY}') THEN {CLEAN} ELSE text END) AS digest FROM documents WHERE text IS NOT NULL")
+def g70_bleached(spark, sf):
+    """Only texts with traces of markup are sanitised again; the others stay as they are."""
+    dirty = F.col("text").rlike(DIRTY)
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", dirty.alias("dirty"), F.md5(F.when(dirty, parse.sanitised(F.col("text"))).otherwise(F.col("text"))).alias("digest"))
+
+
+@query(f"""WITH {SIGNALS}, k AS (SELECT CAST(ts AS DATE) AS day, source, 'geo:' || CAST(trunc(lat) AS BIGINT)::VARCHAR || ':' || CAST(trunc(lng) AS BIGINT)::VARCHAR AS region FROM signals UNION ALL SELECT CAST(ts AS DATE), source, 'actor:' || actor_id::VARCHAR FROM signals WHERE actor_id IS NOT NULL)
+SELECT day::VARCHAR AS day, source, region, count(*) AS n FROM k GROUP BY 1, 2, 3""")
+def g14_incremental_baselines(spark, sf):
+    """Daily counts by source and cell or actor. What is stored up to the day before the last is kept, and only the days from then on are counted anew: late signals of the last day are seen."""
+    s = signals(spark, sf)
+    cell = F.concat_ws(":", F.lit("geo"), F.col("lat").cast("int").cast("string"), F.col("lng").cast("int").cast("string"))
+    geo = s.select(F.to_date("ts").alias("day"), "source", cell.alias("region"))
+    keys = geo.unionByName(s.where("actor_id is not null").select(F.to_date("ts").alias("day"), "source", F.concat(F.lit("actor:"), F.col("actor_id").cast("string")).alias("region")))
+    daily = lambda rows: rows.groupBy("day", "source", "region").agg(count().alias("n"))
+    stored = checkpointed(daily(keys.where("day <= date'2024-01-20'")))
+    last = stored.agg(F.max("day")).first()[0]
+    since = F.date_sub(F.lit(last), 1) if last else F.to_date(F.lit("1970-01-01"))
+    return stored.where(F.col("day") < since).unionByName(daily(keys.where(F.col("day") >= since))).withColumn("day", F.col("day").cast("string"))

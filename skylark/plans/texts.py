@@ -130,10 +130,12 @@ def t25_hashes(spark, sf):
 
 @query("WITH k AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{4,}') AS w FROM documents), t AS (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM k), c AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM k), tf AS (SELECT doc_id, term, len, count(*) AS tf FROM t WHERE term IN ('license', 'thing', 'then', 'stupid') GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1) SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM tf JOIN df USING (term), c GROUP BY doc_id")
 def t39_bm25(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)).alias("w"))
-    n, mean = docs.agg(count(), F.avg(F.size("w"))).first()
+    """One pass over the texts leaves each one's length and its hits, from which both the corpus' figures and the scores come."""
     wanted = ["license", "thing", "then", "stupid"]
-    terms = docs.select("doc_id", F.size("w").alias("len"), F.explode(F.filter("w", lambda x: x.isin(wanted))).alias("term")).groupBy("doc_id", "term", "len").agg(count().alias("tf"))
+    words = F.transform(F.array(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))), lambda w: F.struct(F.size(w).alias("len"), F.filter(w, lambda x: x.isin(wanted)).alias("hits")))
+    docs = checkpointed(table(spark, sf, "documents").select("doc_id", F.inline(words)))
+    n, mean = docs.agg(count(), F.avg("len")).first()
+    terms = docs.select("doc_id", "len", F.explode("hits").alias("term")).groupBy("doc_id", "term", "len").agg(count().alias("tf"))
     return engines.bm25(terms, wanted, n, float(mean or 1)).select("doc_id", F.round("score", 6).alias("score"))
 
 
