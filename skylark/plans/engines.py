@@ -59,16 +59,16 @@ def g03_score_signals(spark, sf):
     return signals(spark, sf).where("value is not null").select("signal_id", F.round(F.when(floor, 0.35).otherwise(g) * influence, 3).alias("score"))
 
 
-@query(f"""WITH {SIGNALS}, cells AS (SELECT signal_id, CAST(floor(lat / 4) AS BIGINT) AS y, CAST(floor(lng / 4) AS BIGINT) AS x, ts, status, {GRAVITY} AS g, date_diff('day', CAST(ts AS DATE), DATE '2024-03-31') AS age FROM signals WHERE value IS NOT NULL),
-active AS (SELECT y, x FROM cells GROUP BY y, x HAVING max(ts) >= TIMESTAMP '2024-01-29 18:00:00')
-SELECT signal_id, round(greatest(0.10, g - 0.05 * floor(age / 30)), 4) AS gravity FROM cells c WHERE status <> 'dismissed' AND g > 0.10 AND age >= 30 AND NOT EXISTS (SELECT 1 FROM active a WHERE a.y = c.y AND a.x = c.x)""")
+@query(f"""WITH {SIGNALS}, cells AS (SELECT signal_id, CAST(floor(lat / CAST(0.5 AS DOUBLE)) AS BIGINT) AS y, CAST(floor(lng / CAST(0.5 AS DOUBLE)) AS BIGINT) AS x, ts, status, {GRAVITY} AS g, date_diff('day', CAST(ts AS DATE), DATE '2024-02-29') AS age FROM signals WHERE value IS NOT NULL),
+active AS (SELECT y, x FROM cells GROUP BY y, x HAVING max(ts) >= TIMESTAMP '2024-01-30 00:00:00')
+SELECT signal_id, round(greatest(0.10, g - 0.05 * floor(age / 30)), 3) AS gravity FROM cells c WHERE status <> 'dismissed' AND g > 0.10 AND age >= 30 AND NOT EXISTS (SELECT 1 FROM active a WHERE a.y = c.y AND a.x = c.x)""")
 def g11_entropy_decay(spark, sf):
-    """Gravity falls by a step for each full 30 days, unless the signal's cell has been active of late."""
+    """Gravity falls by a step for each full 30 days, unless the signal's cell has been active within 30 days."""
     p = Entropy()
-    s = signals(spark, sf).where("value is not null").select("signal_id", geo.cell(F.col("lat"), 4.0).alias("y"), geo.cell(F.col("lng"), 4.0).alias("x"), "ts", "status", gravity().alias("g"), F.datediff(F.to_date(F.lit("2024-03-31")), F.to_date("ts")).alias("age"))
-    active = s.groupBy("y", "x").agg(F.max("ts").alias("last")).where("last >= timestamp'2024-01-29 18:00:00'").select("y", "x")
+    s = signals(spark, sf).where("value is not null").select("signal_id", geo.cell(F.col("lat"), 0.5).alias("y"), geo.cell(F.col("lng"), 0.5).alias("x"), "ts", "status", gravity().alias("g"), F.datediff(F.to_date(F.lit("2024-02-29")), F.to_date("ts")).alias("age"))
+    active = s.groupBy("y", "x").agg(F.max("ts").alias("last")).where("last >= timestamp'2024-01-30 00:00:00'").select("y", "x")
     stale = s.where((F.col("status") != "dismissed") & (F.col("g") > p.floor) & (F.col("age") >= p.epoch_days)).join(active, ["y", "x"], "left_anti")
-    return stale.select("signal_id", F.round(F.greatest(F.lit(p.floor), F.col("g") - p.step * F.floor(F.col("age") / p.epoch_days)), 4).alias("gravity"))
+    return stale.select("signal_id", F.round(F.greatest(F.lit(p.floor), F.col("g") - p.step * F.floor(F.col("age") / p.epoch_days)), 3).alias("gravity"))
 
 
 STEP = "CASE WHEN source IN ('error', 'signup') THEN 1.0 ELSE 0.5 END"
