@@ -36,12 +36,12 @@ def g37_case_heat(spark, sf):
     return base.join(dense, "case_id").select("case_id", F.round(100 * heat, 1).alias("heat"))
 
 
-@query(f"""WITH {OWNED}, hot AS (SELECT case_id, event FROM owned WHERE event % 10 = 0), cand AS (SELECT h.case_id, l_suppkey AS actor, count(DISTINCT h.event) AS shared FROM hot h JOIN lineitem ON l_orderkey = h.event GROUP BY 1, 2),
+@query(f"""WITH {OWNED}, hot AS (SELECT DISTINCT case_id, event FROM owned), cand AS (SELECT h.case_id, l_suppkey AS actor, count(DISTINCT h.event) AS shared FROM hot h JOIN lineitem ON l_orderkey = h.event GROUP BY 1, 2),
 known AS (SELECT s_nationkey AS case_id, s_suppkey AS actor FROM supplier)
 SELECT case_id, actor, confidence, CASE WHEN confidence >= 67 THEN 'HIGH' WHEN confidence >= 34 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM (SELECT case_id, actor, least(100, shared * 12) AS confidence, row_number() OVER (PARTITION BY case_id ORDER BY shared DESC, actor) AS r FROM cand c WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.case_id = c.case_id AND k.actor = c.actor)) WHERE r <= 12""")
 def g38_case_suggestions(spark, sf):
-    """Actors met in a case's events that aren't pinned to it, the best twelve of each case."""
-    hot = owned(spark, sf).where("event % 10 = 0").select("case_id", "event").distinct()
+    """Actors met in all of a case's events that aren't pinned to it, the best twelve of each case."""
+    hot = owned(spark, sf).select("case_id", "event").distinct()
     met = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("event"), F.col("l_suppkey").alias("actor")).distinct()
     cand = hot.join(met, "event").groupBy("case_id", "actor").agg(count().alias("shared"))
     known = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("case_id"), F.col("s_suppkey").alias("actor"))

@@ -151,15 +151,13 @@ def t31_mixed_timestamps(spark, sf):
     return table(spark, sf, "events").select("event_id", moment(written, "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss").alias("parsed"))
 
 
-@query(r"SELECT doc_id, substr(trim(regexp_extract(substr(text, 1, instr(lower(text), 'the') - 1), '[^.\n]*$') || regexp_extract(substr(text, instr(lower(text), 'the')), '^[^.\n]*')), 1, 250) AS snippet FROM documents WHERE instr(lower(text), 'the') > 0 AND length(lower(text)) = length(text)")
+@query(
+    r"""WITH d AS (SELECT doc_id, text, length(regexp_extract(text, '(?is)^(.*?)the', 1)) AS before FROM documents WHERE regexp_matches(text, '(?i)the'))
+SELECT doc_id, substr(trim(regexp_extract(substr(text, 1, before), '[^.\n]*$') || regexp_extract(substr(text, before + 1), '^[^.\n]*')), 1, 250) AS snippet FROM d""",
+    also=["t32_snippets_all"],
+)
 def t32_snippets(spark, sf):
-    d = table(spark, sf, "documents").where(F.char_length(F.lower("text")) == F.char_length("text"))
-    return d.select("doc_id", parse.snippet(F.col("text"), F.lit("the")).alias("snippet")).where("snippet is not null")
-
-
-@query()
-def t32_snippets_all(spark, sf):
-    """All documents, those whose lower case has another length too."""
+    """The sentence around the first find in each document."""
     return table(spark, sf, "documents").select("doc_id", parse.snippet(F.col("text"), F.lit("the")).alias("snippet")).where("snippet is not null")
 
 
@@ -203,15 +201,13 @@ def amounts(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") * F.when(F.col("o_orderkey") % 3 == 0, 0.01).when(F.col("o_orderkey") % 3 == 1, 1.0).otherwise(1000.0)).alias("v"))
 
 
-@query("SELECT o_orderkey, CASE WHEN v >= 1e9 THEN 'R' || printf('%.1f', v / 1e9) || 'B' WHEN v >= 1e6 THEN 'R' || printf('%.1f', v / 1e6) || 'M' WHEN v >= 1e3 THEN 'R' || CAST(floor(v / 1e3) AS BIGINT)::VARCHAR || 'K' ELSE 'R' || CAST(floor(v) AS BIGINT)::VARCHAR END AS label FROM (SELECT o_orderkey, o_totalprice * (CASE o_orderkey % 3 WHEN 0 THEN 0.01 WHEN 1 THEN 1 ELSE 1000 END) AS v FROM orders) WHERE v < 1e6")
+@query(
+    """SELECT o_orderkey, CASE WHEN v >= 1e9 THEN 'R' || printf('%.1f', v / 1e9) || 'B' WHEN v >= 1e6 THEN 'R' || printf('%.1f', v / 1e6) || 'M' WHEN v >= 1e3 THEN 'R' || CAST(floor(v / 1e3) AS BIGINT)::VARCHAR || 'K'
+ELSE 'R' || CAST(floor(v) AS BIGINT)::VARCHAR END AS label FROM (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) * CAST(CASE o_orderkey % 3 WHEN 0 THEN 0.01 WHEN 1 THEN 1 ELSE 1000 END AS DOUBLE) AS v FROM orders)""",
+    also=["t45_money_labels_all"],
+)
 def t45_money_labels(spark, sf):
-    """The labels below a million, which both engines round alike."""
-    return amounts(spark, sf).where("v < 1e6").select("o_orderkey", parse.money_label(F.col("v")).alias("label"))
-
-
-@query()
-def t45_money_labels_all(spark, sf):
-    """All labels, those in millions and billions too."""
+    """Labels of all amounts, from single units to billions."""
     return amounts(spark, sf).select("o_orderkey", parse.money_label(F.col("v")).alias("label"))
 
 

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable:
-    """Register a function under its name; without SQL it is held against a plain version in the tests."""
+def query(sql: str | None = None, also: Sequence[str] = ()) -> Callable:
+    """Register a function under its name and under those it had before; without SQL it is held against a plain version in the tests."""
 
     def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        for name in (f.__name__, *also):
+            QUERIES[name] = f
+            if sql:
+                SQL[name] = sql
         return f
 
     return add

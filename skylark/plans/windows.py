@@ -71,25 +71,12 @@ def g28_emergence(spark, sf):
     return w.where((F.col("now_n") >= e.min_count) & (growth >= e.min_growth)).select("actor_id", "now_n", "base_n", F.round(growth, 4).alias("growth"), F.round(F.log1p(growth) * F.col("now_n"), 4).alias("score"))
 
 
-@query("""WITH p AS (SELECT doc_id % 4 AS pulse, lang AS seed, lower(regexp_extract(text, '[A-Za-z]{4,}')) AS tag FROM documents), c AS (SELECT pulse, seed, tag, count(*) AS n FROM p WHERE tag <> '' GROUP BY 1, 2, 3),
-r AS (SELECT *, dense_rank() OVER (ORDER BY pulse DESC) AS k FROM c)
-SELECT seed, tag, coalesce(max(n) FILTER (WHERE k = 1), 0) AS latest, coalesce(max(n) FILTER (WHERE k = 2), 0) AS previous, round(CAST(coalesce(max(n) FILTER (WHERE k = 1), 0) AS DOUBLE) / greatest(coalesce(max(n) FILTER (WHERE k = 2), 0), 1), 4) AS velocity
-FROM r WHERE k <= 2 GROUP BY 1, 2 HAVING sum(n) >= 2""")
-def g35_tag_velocity(spark, sf):
-    """Tag counts of the latest pulse against the one before; the two pulses are found first, so no ranking over all rows."""
-    d = table(spark, sf, "documents").select((F.col("doc_id") % 4).alias("pulse"), F.col("lang").alias("seed"), F.lower(F.regexp_extract("text", "[A-Za-z]{4,}", 0)).alias("tag")).where("tag <> ''")
-    pulses = d.groupBy("pulse").agg(count().alias("x")).orderBy(F.desc("pulse")).limit(2)
-    order = pulses.withColumn("k", F.row_number().over(Window.orderBy(F.desc("pulse")))).select("pulse", "k")
-    c = d.join(F.broadcast(order), "pulse").groupBy("seed", "tag").agg(F.count_if(F.col("k") == 1).alias("latest"), F.count_if(F.col("k") == 2).alias("previous"))
-    return c.where(F.col("latest") + F.col("previous") >= 2).withColumn("velocity", F.round(F.col("latest") / F.greatest(F.col("previous"), F.lit(1)), 4))
-
-
 @query("""WITH e AS (SELECT event_id, CAST(ts AS DATE) AS day FROM events), m AS (SELECT min(event_id) AS low, max(event_id) AS high FROM events),
 p AS (SELECT day AS pulse, lang AS seed, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS tag FROM documents, m JOIN e ON event_id = low + doc_id % (high - low + 1)),
 c AS (SELECT pulse, seed, tag, count(*) AS n FROM p GROUP BY 1, 2, 3), k AS (SELECT pulse, lag(pulse) OVER (ORDER BY pulse) AS before FROM (SELECT DISTINCT day AS pulse FROM e)),
 a AS (SELECT k.pulse, seed, tag, n AS latest, 0 AS previous FROM c JOIN k USING (pulse) UNION ALL SELECT k.pulse, seed, tag, 0, n FROM c JOIN k ON k.before = c.pulse)
-SELECT strftime(pulse, '%Y-%m-%d') AS pulse, seed, tag, CAST(sum(latest) AS BIGINT) AS latest, CAST(sum(previous) AS BIGINT) AS previous, round(CAST(sum(latest) AS DOUBLE) / greatest(sum(previous), 1), 4) AS velocity FROM a GROUP BY 1, 2, 3 HAVING sum(latest) + sum(previous) >= 2""")
-def g35_tag_velocity_all(spark, sf):
+SELECT strftime(pulse, '%Y-%m-%d') AS pulse, seed, tag, CAST(sum(latest) AS BIGINT) AS latest, CAST(sum(previous) AS BIGINT) AS previous, round(CAST(sum(latest) AS DOUBLE) / greatest(sum(previous), 1), 4) AS velocity FROM a GROUP BY 1, 2, 3 HAVING sum(latest) + sum(previous) >= 2""", also=["g35_tag_velocity_all"])
+def g35_tag_velocity(spark, sf):
     """Counts of all words of all documents by pulse against the pulse before it, for every pulse.
 
     Documents carry no time: the days of `events`, dealt by id, are their pulses. Each count is told to its own pulse and to the next one.
