@@ -133,3 +133,34 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+# Titles before names; first words of headings in records; what is no person's name.
+TITLES = ["adv. ", "adv ", "dr. ", "dr ", "mr. ", "mr ", "mrs. ", "mrs ", "ms. ", "ms ", "miss ", "prof. ", "prof ", "hon. ", "hon ", "judge ", "justice ", "commissioner "]
+HEADINGS = ["schedule", "statute", "gazette", "annex", "annexure", "appendix", "section", "clause", "chapter", "part", "exhibit", "regulation", "proclamation", "notice"]
+NO_NAME = [r"^\d", r"(?i)Magnitude\s", r"^M\d+\.\d", r"(?i)Depth:", r"(?i)FURNFIT", r"(?i)OEQUIP", r"^Bag X\d", r"^\w\.\s+[A-Z]", r"(?i)\bBuilding\b", r"(?i)\bBay\b", r"(?i)\bMunicip", r"^[A-Z]{2,6}$", r"^[A-Z]{2,}\s+[A-Z0-9]{2,}$", r"(?i)&amp;|&nbsp;", r"[<>{}|\\]", r"\d{3,}", r"^\s*-[\d.]", r"\.{3,}"]
+
+
+def person_name(raw: Column) -> Column:
+    """A name as found in a scan: its first line, joined with the second if it is one short word, with single blanks, without punctuation at its end or a title before it."""
+    lines = F.filter(F.transform(F.split(raw, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    first = F.get(lines, F.lit(0))
+    halved = (F.size(lines) >= 2) & (F.char_length(first) <= 15) & ~first.contains(" ")
+    name = F.trim(F.regexp_replace(F.regexp_replace(F.when(halved, F.concat_ws(" ", first, F.get(lines, F.lit(1)))).otherwise(first), r"\s{2,}", " "), r"[^\p{L}\p{N}_\s]+$", ""))
+    return F.trim(F.regexp_replace(name, "(?i)^(?:" + "|".join(t.replace(".", r"\.") for t in TITLES) + ")", ""))
+
+
+def is_person_name(name: Column, refused: list[str] | None = None, shortest: int = 4, longest: int = 80) -> Column:
+    """Whether a cleaned name may be a person's: two words or more, of fitting length, in no list of what is none; null is none."""
+    low = F.lower(name)
+    fits = F.char_length(name).between(shortest, longest) & name.contains(" ") & ~low.isin(list(refused or [""])) & ~F.element_at(F.split(low, " "), 1).isin(HEADINGS) & name.rlike(r"\p{Ll}")
+    for pattern in NO_NAME:
+        fits = fits & ~name.rlike(pattern)
+    return F.coalesce(fits, F.lit(False))
+
+
+def dossier_html(markdown: Column) -> Column:
+    """Headings of two levels and paragraphs, one for each line with text."""
+    lines = F.filter(F.transform(F.split(markdown, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    wrap = lambda x: F.when(x.startswith("# "), F.concat(F.lit("<h1>"), F.substr(x, F.lit(3)), F.lit("</h1>"))).when(x.startswith("## "), F.concat(F.lit("<h2>"), F.substr(x, F.lit(4)), F.lit("</h2>"))).otherwise(F.concat(F.lit("<p>"), x, F.lit("</p>")))
+    return F.array_join(F.transform(lines, wrap), "\n")

@@ -59,6 +59,29 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     return ranks
 
 
+def label_communities(edges: DataFrame, rounds: int = 30) -> DataFrame:
+    """(node, community) by label propagation over weighted undirected links (a, b, weight): a node takes the label of most weight among its neighbours; of several such its own,
+    else the least.
+
+    In each round one half of the nodes moves, by a hash of node and round, so that neighbours don't swap labels for ever. It ends when no node of either half would move, or after
+    so many rounds. A community is named by its least node. Each round moves one label per edge and sums per (node, label) before anything else, so that a node of very many links
+    is no group of its own.
+    """
+    links = checkpointed(both_ways(edges.where("a <> b")).groupBy("src", "dst").agg(F.sum("weight").alias("weight")).repartition("src"))
+    labels = checkpointed(links.select("src").distinct().select(F.col("src").alias("node"), F.col("src").alias("label")))
+    for turn in range(rounds):
+        told = links.join(labels, F.col("src") == F.col("node")).groupBy("dst", "label").agg(F.sum("weight").alias("weight"))
+        own = labels.select(F.col("node").alias("dst"), F.col("label").alias("own"))
+        best = F.min_by("label", F.struct(-F.col("weight"), F.col("label") != F.col("own"), "label"))
+        held = checkpointed(told.join(own, "dst").groupBy("dst", "own").agg(best.alias("new")))
+        if held.where("new <> own").isEmpty():
+            break
+        moves = F.pmod(F.xxhash64("dst", F.lit(turn)), F.lit(2)) == 0
+        labels = held.select(F.col("dst").alias("node"), F.when(moves, F.col("new")).otherwise(F.col("own")).alias("label"))
+    least = labels.groupBy("label").agg(F.min("node").alias("community"))
+    return labels.join(least, "label").select("node", "community")
+
+
 def reach(edges: DataFrame, seeds: DataFrame, hops: int, max_degree: int | None = None) -> DataFrame:
     """(node, depth): least number of hops from any seed (a table with `node`), up to `hops`. Nodes of more than max_degree links are reached but not passed through."""
     links = both_ways(edges.withColumn("weight", F.lit(1))).select("src", "dst").distinct()

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skylark.adapters import table
-from skylark.functions.align import jaro_winkler
 from skylark.functions.text import normal_name
+from skylark.operators import names as N
 from skylark.plans.registry import query
 
 def count():
@@ -93,14 +93,12 @@ def g51_archive_split(spark, sf):
     return reach.join(n, "artifact").groupBy("case_id").agg(F.count_if(F.col("cases") == 1).alias("moved"), F.count_if(F.col("cases") > 1).alias("copied"))
 
 
-@query("""SELECT a.c_custkey AS a, b.c_custkey AS b, round(jaro_winkler_similarity(x.norm, y.norm), 6) AS similarity FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey
-JOIN (SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS norm FROM customer) x ON x.c_custkey = a.c_custkey JOIN (SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS norm FROM customer) y ON y.c_custkey = b.c_custkey
-WHERE jaro_winkler_similarity(x.norm, y.norm) >= 0.98""")
+@query("""WITH n AS (SELECT min(c_custkey) AS k, norm FROM (SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS norm FROM customer) WHERE norm <> '' GROUP BY norm)
+SELECT a.k AS a, b.k AS b, round(jaro_winkler_similarity(a.norm, b.norm), 6) AS similarity FROM n a JOIN n b ON a.k < b.k WHERE jaro_winkler_similarity(a.norm, b.norm) >= 0.98""")
 def j18_fuzzy_names(spark, sf):
-    """Names alike by Jaro-Winkler within blocks of nation and segment; equal words don't block here, as every name shares one."""
-    c = table(spark, sf, "customer").select("c_custkey", F.concat_ws("|", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("block"), normal_name(F.col("c_name")).alias("norm"))
-    pairs = c.toDF("a", "block", "na").join(c.toDF("b", "block", "nb"), "block").where("a < b").withColumn("s", jaro_winkler("na", "nb")).where("s >= 0.98")
-    return pairs.select("a", "b", F.round("s", 6).alias("similarity"))
+    """All names alike by Jaro-Winkler; equal ones are one name, under its least id."""
+    names = table(spark, sf, "customer").groupBy(normal_name(F.col("c_name")).alias("norm")).agg(F.min("c_custkey").alias("id"))
+    return N.alike(names).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("SELECT l_suppkey AS actor, count(*) AS mentions, count(DISTINCT l_orderkey) AS signals, round(least(0.5 + 0.1 * count(DISTINCT l_orderkey), 0.95), 4) AS confidence FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY 1 HAVING count(DISTINCT l_orderkey) >= 2")
