@@ -48,12 +48,12 @@ def steps(role: str | None, costs: Costs) -> list[tuple[int, int, float, str, tu
         for before in NEXT:
             if label in NEXT[before]:
                 out.append((before, label, base, how, ()))
-            elif label == before:
+                continue
+            if label == before:
                 out.append((before, label, base + costs.merge, "merge" if how == "keep" else "relabel+merge", ()))
-            else:
-                for middle in NEXT[before]:
-                    if label in NEXT[middle]:
-                        out.append((before, label, base + costs.insert, "insert" if how == "keep" else "relabel+insert", (middle,)))
+            for middle in NEXT[before]:
+                if label in NEXT[middle]:
+                    out.append((before, label, base + costs.insert, "insert" if how == "keep" else "relabel+insert", (middle,)))
     return sorted(out, key=lambda s: s[2])
 
 

@@ -16,7 +16,8 @@ import pickle
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from html import escape
@@ -52,6 +53,8 @@ MAIN_TOKENS = set("article articlebody main content contents post posts postbody
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TOKENS = re.compile(r"[a-z]+")
 MARKED = "data-kept"
+#: What the parser leaves of a page that ends within a tag or a comment.
+UNCLOSED = re.compile(r"<[a-zA-Z/!?]")
 #: Buckets of hashed attribute tokens.
 BUCKETS = 1 << 14
 NO_TOKENS: tuple[int, ...] = ()
@@ -75,7 +78,7 @@ def either_end(tag: str) -> re.Pattern:
 class Tree(HTMLParser):
     """The page's block elements and runs of text, parents before children; runs have tag '#'.
 
-    A head ends where something begins that can't be in it. Text in silent elements (scripts, buttons and the like) isn't read; one that is never closed, script and
+    A comment or tag that is never closed takes the rest of the page. A head ends where something begins that can't be in it. Text in silent elements (scripts, buttons and the like) isn't read; one that is never closed, script and
     style apart, ends at the next block or with the block around it.
     """
 
@@ -83,10 +86,12 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.tokens, self.text, self.links, self.kept = ["html"], [-1], [NO_TOKENS], [""], [0], [None]
         self.open, self.silent, self.loose, self.in_head, self.anchors, self.run, self.linked = [0], [], False, False, 0, [], 0
+        self.places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each name, but for the root
         self.html, self.lines = html or "", None
         if html:
             self.feed(html)
-            self.close()
+            if not UNCLOSED.match(self.rawdata):
+                self.close()
         self.flush()
 
     def add(self, tag: str, tokens: tuple[int, ...], text: str = "", links: int = 0, kept: bool | None = None) -> int:
@@ -94,6 +99,16 @@ class Tree(HTMLParser):
             column.append(value)
         return len(self.tag) - 1
 
+    def last(self, names: Iterable[str]) -> int:
+        """The place of the innermost open element of these names; 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def shut(self, place: int) -> None:
+        """Ends the open element at the place and all within it."""
+        for k in self.open[place:]:
+            self.places[self.tag[k]].pop()
+        del self.open[place:]
+
     def flush(self) -> None:
         if self.run:
             if text := " ".join("".join(self.run).split()):
@@ -138,16 +153,12 @@ class Tree(HTMLParser):
         self.anchors = 0
         # A new block closes an open paragraph; a list item, cell or row closes its like within the same list or table.
         if self.tag[self.open[-1]] == "p":
-            self.open.pop()
+            self.shut(len(self.open) - 1)
         if tag in CLOSES and tag != "p":
-            for k in range(len(self.open) - 1, 0, -1):
-                name = self.tag[self.open[k]]
-                if name in CLOSES[tag]:
-                    del self.open[k:]
-                    break
-                if name in ("ul", "ol", "dl", "menu", "table"):
-                    break
-        if tag in VOID or tag in ("html", "body") and tag in (self.tag[k] for k in self.open):
+            around = self.last(("ul", "ol", "dl", "menu", "table"))
+            while (like := self.last(CLOSES[tag])) > around:
+                self.shut(like)
+        if tag in VOID or tag == "html" or tag == "body" and self.places.get(tag):
             return
         found, kept = NO_TOKENS, None
         for name, value in attrs:
@@ -157,6 +168,7 @@ class Tree(HTMLParser):
                 found += (bucket("hidden"),)
             elif name == MARKED:
                 kept = value == "1"
+        self.places[tag].append(len(self.open))
         self.open.append(self.add(tag, found, kept=kept))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -170,7 +182,7 @@ class Tree(HTMLParser):
             if tag == self.silent[-1]:
                 self.silent.pop()
                 return
-            if not (self.loose and tag in BLOCKS and tag in (self.tag[k] for k in self.open[1:])):
+            if not (self.loose and tag in BLOCKS and self.places.get(tag)):
                 return
             self.silent = []
         if tag == "head":
@@ -179,10 +191,8 @@ class Tree(HTMLParser):
             self.anchors = 0
         elif tag in BLOCKS:
             self.flush()
-            for k in range(len(self.open) - 1, 0, -1):
-                if self.tag[self.open[k]] == tag:
-                    del self.open[k:]
-                    break
+            if place := self.last((tag,)):
+                self.shut(place)
 
     def handle_data(self, data: str) -> None:
         if not self.silent and not (self.in_head and data.isspace()):

@@ -23,6 +23,8 @@ from skylark.llm.linear import linear_svm, sigmoid
 BUCKETS = 4096
 #: Labelled rows that the models are fitted on, of each language at most (about).
 SAMPLE_PER_LANGUAGE = 400
+#: Languages that are learned: the most frequent ones, so that a column of anything else than languages is no model without bound.
+MOST_LANGUAGES = 400
 #: Families of ISO 639-1 codes; any other language is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi",
@@ -92,20 +94,21 @@ class Hierarchy:
 
 
 def sample_of(labelled: DataFrame, lang: str, text: str, doc_id: str, each: int, seed: int) -> list[tuple]:
-    """About `each` rows (lang, vector as bytes, place) of every language, by a seeded hash of the id and the text."""
+    """About `each` rows (lang, vector as bytes, place) of every language, by a seeded hash of the id and the text; repeated rows are one."""
     order = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), F.lit(1 << 40))
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()}
     if not counts:
         return []
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int((1 << 40) * min(1.0, each / n))))])
     # A vector travels as the bytes of its floats: a list of numbers would be many times as large on the driver.
     hashed = F.arrow_udf(lambda v: pa.array([None if (f := features(t)) is None else f.tobytes() for t in v.to_pylist()], pa.binary()), "binary")
-    rows = labelled.where(order < share[F.col(lang)]).select(F.col(lang).alias("lang"), hashed(F.col(text)).alias("x"), order.alias("o")).where("x is not null")
+    few = labelled.where(order < share[F.col(lang)]).groupBy(F.col(lang).alias("lang"), order.alias("o")).agg(F.min(text).alias("_text"))
+    rows = few.select("lang", hashed(F.col("_text")).alias("x"), "o").where("x is not null")
     return sorted(rows.collect(), key=lambda r: (r.lang, r.o, bytes(r.x)))
 
 
 def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", each: int = SAMPLE_PER_LANGUAGE, seed: int = 7) -> Hierarchy:
-    """The models, from a sample of about `each` rows of every language; rows without lang, text or letters are no use."""
+    """The models, from a sample of about `each` different rows of every language (the MOST_LANGUAGES most frequent); rows without lang, text or letters are no use."""
     small_batches(labelled.sparkSession)
     rows = sample_of(labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()), lang, text, doc_id, each, seed)
     return Hierarchy(np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(len(rows), BUCKETS), [r.lang for r in rows])

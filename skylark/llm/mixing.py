@@ -135,27 +135,15 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] | DataFrame = (5.0, 2.0
     return done.select(F.col("_id").alias("doc_id"), F.col("_key").alias("source"), "size", "source_size", "target", "taken", "whole", "part")
 
 
-def leading_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its n-th word."""
-    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), n.cast("int")), "")
-
-
 def mixed(docs: DataFrame, weights: tuple[float, ...] | DataFrame = (5.0, 2.0, 1.0), share: float = 1.5, max_epochs: float = 2.0, seed: int = 42, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """The mix: the rows of docs, each as often as it is taken, with the columns of docs.
-
-    The one document of a source that is taken in part has its leading words as text, and their length as n_chars if there is such a column; texts without words are not taken.
+    """The mix: the rows of docs, each as often as it is taken, with the columns of docs. Texts are whole: the one document of a source that the plan takes in part is
+    taken once more or not, whichever is nearer to the target. Texts without words are not taken.
     """
     cuts = _cuts(_sized(docs, text, doc_id, source, seed), weights, share, max_epochs)
     order = _order(text, doc_id, seed)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = _with_cuts(docs.where(F.col(text).rlike(WORD)).select(row, F.col(source).alias("_key"), order.alias("_order"), _slice(order).cast("long").alias("_slice")), cuts)
-    once = lambda n: F.array_repeat(F.lit(-1).cast("long"), n.cast("int"))
-    plain = rows.where("_place <> 0").select("_row", F.explode(once(F.col("_whole") + (F.col("_place") < 0).cast("int"))).alias("_words"))
+    plain = rows.where("_place <> 0").select("_row", (F.col("_whole") + (F.col("_place") < 0).cast("int")).alias("_times"))
     cut = _shared(rows.where("_place = 0").withColumns({"size": word_count(F.col(f"_row.`{text}`")), "_id": F.col(f"_row.`{doc_id}`")}))
-    last = F.when(F.col("_extra") == F.col("size"), once(F.lit(1))).when(F.col("_extra") > 0, F.array("_extra")).otherwise(F.array().cast("array<long>"))
-    taken = plain.unionByName(cut.select("_row", F.explode(F.concat(once(F.col("_whole")), last)).alias("_words")))
-    partial = F.col("_words") > 0
-    new = {text: F.when(partial, leading_words(F.col(f"_row.{text}"), F.col("_words"))).otherwise(F.col(f"_row.{text}"))}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(partial, F.char_length(new[text]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
-    return taken.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    taken = plain.unionByName(cut.select("_row", (F.col("_whole") + (2 * F.col("_extra") >= F.col("size")).cast("int")).alias("_times")))
+    return taken.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

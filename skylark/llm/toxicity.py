@@ -154,12 +154,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], e
     share = F.when(first == 1, F.lit(int((1 << 40) * min(1.0, each / max(1, positive))))).otherwise(F.lit(int((1 << 40) * min(1.0, each / max(1, n - positive)))))
     few = once.where(order < share)  # of a bounded size: about twice `each`
     keys = F.arrow_udf(lambda v: pa.array([np.array(word_keys(t), np.uint64).view(np.int64).tolist() for t in v.to_pylist()], pa.list_(pa.int64())), "array<long>")
-    rows = docs.where(F.col(text).isNotNull()).join(F.broadcast(few), doc_id).select(F.col(doc_id).alias("doc_id"), keys(F.col(text)).alias("words"), *categories)
-    return rows.toArrow()
+    # Of an id with several rows one text, whichever hashes lowest: an id that is repeated is no larger a sample.
+    labelled = docs.where(F.col(text).isNotNull()).join(F.broadcast(few), doc_id).groupBy(doc_id, *categories).agg(F.min_by(text, F.xxhash64(text)).alias("_text"))
+    return labelled.select(F.col(doc_id).alias("doc_id"), keys(F.col("_text")).alias("words"), *categories).toArrow()
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], each: int = SAMPLE_EACH, text: str = "text", doc_id: str = "doc_id", seed: int = 3) -> list[Link]:
-    """The chain for labels' 0/1 columns `categories`, in this order. Rows without id, text or label are no use; several labels of an id count as the highest."""
+    """The chain for labels' 0/1 columns `categories`, in this order. Rows without id, text or label are no use; several labels of an id count as the highest, and of several texts one is used."""
     small_batches(docs.sparkSession)
     rows = labelled_sample(docs.select(doc_id, text), labels, categories, each, text, doc_id, seed)
     rows = rows.append_column("n", pa.compute.list_value_length(rows["words"])).sort_by([("doc_id", "ascending"), ("n", "ascending")]).combine_chunks()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -168,7 +169,15 @@ def test_mixing_odd_rows(spark):
     assert len(plan) == len(ODD) and sum(r.taken for r in plan) == pytest.approx(1.5 * sum(r["size"] for r in plan), abs=2)
     mix = mixing.mixed(docs)
     assert mix.columns == docs.columns
-    assert sum(len(WORD.findall(r.text)) for r in mix.collect()) == sum(r.taken for r in plan)
+    taken, meant, cut = ({} for _ in range(3))
+    for r in mix.collect():
+        taken[r.source] = taken.get(r.source, 0) + len(WORD.findall(r.text))
+    for r in plan:
+        meant[r.source] = meant.get(r.source, 0) + r.taken
+        cut[r.source] = cut.get(r.source, 0) + (r["size"] / 2 if r.part else 0)
+    # Texts are whole, so that a source differs from its plan by half of the document that the plan takes in part.
+    assert {r.text for r in mix.collect()} <= {t for _, t in ODD}
+    assert all(abs(taken.get(k, 0) - n) <= cut[k] for k, n in meant.items())
     assert mixing.mix_plan(docs.where("false")).count() == 0 and mixing.mixed(docs.where("false")).count() == 0
     table = spark.createDataFrame([("a", 1.0), (None, 3.0)], "source string, weight double")
     assert mixing.mix_plan(docs, weights=table).count() == len(ODD)
@@ -303,25 +312,43 @@ def test_op5_equals_brute_force_and_catches_reordered_passages(spark):
     assert decontaminate.decontaminate(frame, bench.where("false")).where("contaminated").count() == 0
 
 
-def plain_cost(roles):
-    """Least repair cost by trying every label of every turn."""
-    costs, best = chat.Costs(), float("inf")
-    for labels in itertools.product((1, 2, 3), repeat=len(roles)):
-        state, total = chat.START, 0.0
-        for role, label in zip(roles, labels, strict=True):
-            given = chat.ROLES.get((role or "").strip().lower())
-            total += 0 if label == given else costs.name if given is None else costs.relabel
-            if label in chat.NEXT[state]:
-                pass
-            elif label == state:
-                total += costs.merge
-            elif any(label in chat.NEXT[m] for m in chat.NEXT[state]):
-                total += costs.insert
-            else:
-                total = float("inf")
-            state = label
-        best = min(best, total + chat.end_cost(state, costs))
-    return best
+#: Turns that may follow each other; "" is the beginning.
+FOLLOWS = {("", "system"), ("", "user"), ("system", "user"), ("user", "assistant"), ("assistant", "user")}
+
+
+def plain_cost(roles, costs=chat.Costs()):
+    """The cheapest path over (turns read, last role) to an end after an assistant's turn, by relaxing every edge until nothing changes."""
+    names = ["system", "user", "assistant"]
+    edges = []
+    for k in range(len(roles) + 1):
+        edges += [((k, a), (k, b), costs.insert) for a, b in FOLLOWS]
+        if k < len(roles):
+            given = (roles[k] or "").strip().lower()
+            for label in names:
+                price = 0 if label == given else costs.relabel if given in names else costs.name
+                edges += [((k, a), (k + 1, label), price) for a, b in FOLLOWS if b == label] + [((k, label), (k + 1, label), price + costs.merge)]
+    cost, moved = {(0, ""): 0.0}, True
+    while moved:
+        moved = False
+        for a, b, price in edges:
+            if cost.get(a, float("inf")) + price < cost.get(b, float("inf")) - 1e-12:
+                cost[b], moved = cost[a] + price, True
+    return cost[len(roles), "assistant"]
+
+
+def test_op6_repairs_at_least_cost_for_any_costs(spark):
+    assert plain_cost(["user", "user", "assistant"], chat.Costs(5, 1, 9)) == 1
+    draw = random.Random(7)
+    for _ in range(400):
+        costs = chat.Costs(*(draw.choice([0.25, 0.5, 1, 2, 5, 9]) for _ in range(4)))
+        roles = [draw.choice(["user", "assistant", "system", "User", None, "tool"]) for _ in range(draw.randrange(1, 9))]
+        repair = chat.Repair(costs, {})
+        chosen = repair.chosen(roles, chat.START, None)
+        assert sum(s[2] for s in chosen) + chat.end_cost(chosen[-1][1], costs) == pytest.approx(plain_cost(roles, costs)), (roles, costs)
+    turns = spark.createDataFrame([(1, k, r, r) for k, r in enumerate(["user", "user", "assistant"])], "conv_id long, turn long, role string, text string")
+    fixed = chat.repair_roles(turns, chat.Costs(5, 1, 9))
+    assert [(r.op, r.opens) for r in fixed.orderBy("place").collect()] == [("keep", 1), ("insert", 2), ("keep", 1)]
+    assert LEGAL.match(chat.render(fixed).first().text)
 
 
 LEGAL = re.compile(r"^(<\|im_start\|>system\n.*?<\|im_end\|>\n)?(<\|im_start\|>user\n.*?<\|im_end\|>\n<\|im_start\|>assistant\n.*?<\|im_end\|>\n)+$", re.S)
@@ -410,10 +437,27 @@ def test_write_matrix(spark, tmp_path):
     assert len(ids) == 64 and row.cu_seqlens[-1] == row.n_tokens
 
 
-def test_encoding_by_pieces_is_that_of_the_whole_text(spark):
+LONG_RUNS = [" ", "\n", "\t", "a", " \n\t", "ab ", "\u3000\xa0", "\r\n"]
+
+
+@pytest.mark.parametrize("run", LONG_RUNS)
+def test_encoding_of_long_runs_is_that_of_the_whole_text(run):
     e = bpe.tokenizer(bpe.vocabulary_path())
-    texts = [t for _, t in documents(spark)] + ["a  b", " a", "a ", "a\n b", "a \nb", "don't stop", "x  y", "日本 語 12 345", "a\r\n b \t c", ""]
-    assert all(e.encode(t) == e.encoding.encode_ordinary(t) for t in texts)
+    for before, after in itertools.product(["", "word", "x \n", "12"], ["", "word", "\nword", " word", "!", "\xa0x"]):
+        for n in (1, 2, 5_000, bpe.LONG_SPACE // len(run), bpe.LONG_SPACE + 1, 30_000):
+            text = before + run * n + after
+            assert e.encode(text) == e.encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("run", LONG_RUNS)
+def test_texts_of_two_million_characters(spark, run):
+    text = "start" + run * (2_000_000 // len(run)) + "end"
+    e = bpe.tokenizer(bpe.vocabulary_path())
+    assert e.encoding.decode(e.encode(text)) == text
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    tokens = {r.doc_id: r.n for r in packing.pack(docs).select(F.explode(F.arrays_zip("doc_ids", F.slice("cu_seqlens", F.lit(2), F.size("doc_ids")), F.slice("cu_seqlens", F.lit(1), F.size("doc_ids")))).alias("p")).groupBy(F.col("p.doc_ids").alias("doc_id")).agg(F.sum(F.col("p.1") - F.col("p.2")).alias("n")).collect()}
+    assert tokens == {1: len(e.encode(text)) + 1, 2: 2}
+    assert attribution.section_tokens(docs).where("doc_id = 1").agg(F.sum("n_tokens")).first()[0] == pytest.approx(len(e.encode(text)))
 
 
 def plain_attribution(ids, token_bytes, text, sections, rule):
@@ -500,6 +544,32 @@ def test_omitted_and_unclosed_tags_lose_no_text():
         assert [" ".join(t.split()) for t in html.Tree(page).text if t] == runs, page
 
 
+@pytest.mark.parametrize("end", ["<!-- <div>hidden promo", '<div class="ad', "<!-- x --", "</di", "<!doctype", "<?php echo", "<a href='x>y</a>"])
+def test_unclosed_comments_and_tags_give_no_text(end):
+    tree = html.Tree("<article><p>Main text.</p></article>" + end)
+    assert [t for t in tree.text if t] == ["Main text."]
+
+
+def test_markup_signs_in_text_stay():
+    assert [t for t in html.Tree("<p>1 < 2 & 3 <= 4 &lt;b&gt; AT&T").text if t] == ["1 < 2 & 3 <= 4 <b> AT&T"]
+
+
+@pytest.mark.parametrize("make", [lambda n: "<a " * n, lambda n: "<div>" * n + "</p>" * n, lambda n: "<td><ul>" + "<div>" * n + "<td></td>" * n, lambda n: "<li>" * n, lambda n: "<!--" * n, lambda n: "<button>" * n, lambda n: "<title>" + "</div>" * n, lambda n: "<" * n, lambda n: "&" * n + "<p>", lambda n: "<p " + "a=1 " * n + ">x"])
+def test_broken_pages_take_linear_time(make):
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        html.Tree(make(n))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * max(took[0], 0.05) and took[1] < 20
+
+
+def test_items_close_their_like_within_a_list():
+    tree = html.Tree("<ul><li>a<ul><li>b<li>c</ul>d<li>e</ul><table><tr><td>1<td>2<tr><td>3</table>")
+    depth = lambda k: 0 if k <= 0 else 1 + depth(tree.parent[k])
+    assert {t: depth(k) for k, t in enumerate(tree.text) if t} == {"a": 3, "b": 5, "c": 5, "d": 3, "e": 3, "1": 4, "2": 4, "3": 4}
+
+
 def test_op8_fits_without_articles_and_on_repeated_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     plain = pages.withColumn("html", F.regexp_replace("html", "(?i)<(/?)article", "<$1div"))
@@ -540,3 +610,14 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"}
     assert langid.identify(docs.where("false"), model).count() == 0
     assert langid.family_of("pt-BR") == "romance" and langid.family_of("xx") == "xx"
+
+
+def test_samples_hold_a_repeated_row_once(spark):
+    many = spark.range(3_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("the same words again").alias("text"), F.lit("en").alias("lang"))
+    some = spark.createDataFrame([(k, f"ein Satz mit Wort {'x' * k}", "de") for k in range(2, 30)], "doc_id long, text string, lang string")
+    docs = many.unionByName(some)
+    rows = langid.sample_of(docs, "lang", "text", "doc_id", 4_000, 7)
+    assert sum(r.lang == "en" for r in rows) == 1 and sum(r.lang == "de" for r in rows) == 28
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 30)], "doc_id long, toxic int")
+    table = toxicity.labelled_sample(docs.select("doc_id", "text"), labels, ["toxic"], 2_000, "text", "doc_id", 3)
+    assert sorted(table["doc_id"].to_pylist()) == list(range(1, 30))
