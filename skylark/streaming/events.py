@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylark.session import checkpoint_folder
+from skylark.streaming.state import keyed_state
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -15,15 +16,20 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stream of a table's files, a file or a folder of them: a pattern, as a plain path would have to be a folder."""
-    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema).parquet(f"{sf_dir}/{name}.parque[t]")
+def arriving(spark: SparkSession, sf_dir: str, name: str, files: int | None = None) -> DataFrame:
+    """A stream of a table's files, a file or a folder of them: a pattern, as a plain path would have to be a folder. files: how many make a batch at most."""
+    reader = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def drained(stream: DataFrame, place: str) -> DataFrame:
-    """All that has arrived so far, run in the append mode to the end and read back; a lost run resumes from its place."""
+def drained(stream: DataFrame, place: str, progress: list | None = None) -> DataFrame:
+    """All that has arrived so far, run in the append mode to the end and read back; a lost run resumes from its place. progress: takes the batches' reports."""
     out, schema = f"{place}/rows", stream.schema
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{place}/place").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    with keyed_state(stream.sparkSession):
+        run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{place}/place").outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
+    if progress is not None:
+        progress += run.recentProgress
     return stream.sparkSession.read.schema(schema).parquet(out)
 
 
