@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,9 @@ from skylark.llm.prefix_bpe import byte_alphabet
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a block's texts, and chunks that a worker remembers; a block ends where either is reached.
-BLOCK_CHARS, REMEMBERED = 12_000_000, 400_000
+BLOCK_CHARS, REMEMBERED = 12_000_000, 600_000
+#: Characters of texts that are cut before their new chunks are aligned, and chunks that are given to the tokenizers together.
+PENDING_CHARS, TOGETHER = 2_000_000, 500
 #: Links of a chunk that are given with it, and the block's table, in one row per block.
 BLOCKS = "block bigint, doc_id {}, place bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, codes binary, pairs array<bigint>, counts array<bigint>, ends binary, links binary"
 RESULT = "doc_id {}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
@@ -41,13 +44,14 @@ RADIX = 1 << 24
 GUARD = "\n"
 
 
-def byte_ends(spans: list[tuple[int, int]], lengths: list[int]) -> list[int]:
-    """Where each token ends, in bytes. spans: coarse byte spans by the library; lengths: of the decoded tokens.
+def byte_ends(spans: list[tuple[int, int]], tokens: list[bytes]) -> list[int]:
+    """Where each token ends, in bytes. spans: coarse byte spans by the library; tokens: decoded.
 
     A span is taken as it is where its length is that of the decoded token and it begins where the token before ended; the bytes decide elsewhere.
     """
     out, at = [], 0
-    for (start, end), n in zip(spans, lengths, strict=True):
+    for (start, end), token in zip(spans, tokens, strict=True):
+        n = len(token)
         at = end if start == at and end - start == n else at + n
         out.append(at)
     return out
@@ -55,21 +59,21 @@ def byte_ends(spans: list[tuple[int, int]], lengths: list[int]) -> list[int]:
 
 def grouped(ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int]) -> tuple[str, int, list[int]]:
     """The groups `a1,a2|b1;a3|b2,b3`, how many, and the linked id pairs, one for each two tokens that overlap. Both end at the same byte."""
-    groups, links, i, j = [], [], 0, 0
-    left, right = [], []
+    groups, links, i, j, first, other = [], [], 0, 0, 0, 0
     while i < len(ids_a):
-        a, b = ids_a[i], ids_b[j]
-        links.append(a * RADIX + b)
-        if len(left) == 0 or left[-1] != i:
-            left.append(i)
-        if len(right) == 0 or right[-1] != j:
-            right.append(j)
+        links.append(ids_a[i] * RADIX + ids_b[j])
         end_a, end_b = ends_a[i], ends_b[j]
-        i += end_a <= end_b
-        j += end_b <= end_a
         if end_a == end_b:
-            groups.append(",".join([str(ids_a[k]) for k in left]) + "|" + ",".join([str(ids_b[k]) for k in right]))
-            left, right = [], []
+            i, j = i + 1, j + 1
+            if i - first == j - other == 1:
+                groups.append(f"{ids_a[first]}|{ids_b[other]}")
+            else:
+                groups.append(",".join(map(str, ids_a[first:i])) + "|" + ",".join(map(str, ids_b[other:j])))
+            first, other = i, j
+        elif end_a < end_b:
+            i += 1
+        else:
+            j += 1
     return ";".join(groups), len(groups), links
 
 
@@ -98,32 +102,47 @@ class Aligner:
         return CHUNK.findall(" " + text) if self.cuts else [" " + text]
 
     def tokens_a(self, chunks: list[str]) -> Iterator[tuple[list[int], list[tuple[int, int]]]]:
-        """Ids and byte spans of each chunk."""
-        for chunk, found in zip(chunks, self.a.encode_batch(chunks, add_special_tokens=False), strict=True):
-            spans = found.offsets
+        """Ids and byte spans of each chunk. Chunks are given together, as words that are cut already."""
+        found = self.a.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+        ids, offsets, ends = found.ids, found.offsets, np.searchsorted(found.word_ids, np.arange(len(chunks)), "right").tolist()
+        for chunk, start, end in zip(chunks, [0, *ends], ends, strict=False):
+            spans = offsets[start:end]
             if not chunk.isascii():
                 at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in chunk])]).tolist()
                 spans = [(at[s], at[e]) for s, e in spans]
-            yield found.ids, spans
+            yield ids[start:end], spans
 
     def tokens_b(self, chunks: list[str]) -> Iterator[tuple[list[int], list[tuple[int, int]]]]:
-        """Ids and byte spans of each chunk. Before a chunk the model is given a line break, so that the blank it adds is no part of the chunk."""
+        """Ids and byte spans of each chunk. Before each chunk the model is given a line break, so that the blank it adds is no part of a chunk, and chunks stay apart."""
         if not self.cuts:
-            for chunk, found in zip(chunks, self.b.encode([c[1:] for c in chunks], return_type="proto", num_threads=1), strict=True):
+            for found in self.b.encode([c[1:] for c in chunks], return_type="proto", num_threads=1):
                 yield [p.id for p in found.pieces], [(p.begin + (k > 0), p.end + 1) for k, p in enumerate(found.pieces)]
             return
-        for found in self.b.encode([GUARD + c for c in chunks], return_type="proto", num_threads=1):
-            pieces = found.pieces[2:]
-            yield [p.id for p in pieces], [(p.begin - 1, p.end - 1) for p in pieces]
+        tokens = [(p.id, p.begin, p.end) for p in self.b.encode("".join([GUARD + c for c in chunks]), return_type="proto", num_threads=1).pieces]
+        at, start = 0, 1  # the model's own blank
+        for chunk in chunks:
+            at += len(GUARD)
+            start += 1
+            size = len(chunk) if chunk.isascii() else len(chunk.encode())
+            end = start
+            while end < len(tokens) and tokens[end][2] <= at + size and (tokens[end][1] < at + size or tokens[end][2] == tokens[end][1]):
+                end += 1
+            part = tokens[start:end]
+            yield [t[0] for t in part], [(t[1] - at, t[2] - at) for t in part]
+            at, start = at + size, end
 
     def align(self, chunks: list[str]) -> Iterator[tuple[str, int, int, int, list[int]] | None]:
-        for chunk, (ids_a, spans_a), (ids_b, spans_b) in zip(chunks, self.tokens_a(chunks), self.tokens_b(chunks), strict=True):
-            raw_a, raw_b, raw = [self.bytes_a[k] for k in ids_a], [self.bytes_b[k] for k in ids_b], chunk.encode()
-            if b"".join(raw_a) != raw or b"".join(raw_b) != raw:
-                yield None
-                continue
-            groups, n, links = grouped(ids_a, byte_ends(spans_a, [len(x) for x in raw_a]), ids_b, byte_ends(spans_b, [len(x) for x in raw_b]))
-            yield groups, len(ids_a), len(ids_b), n, links
+        for at in range(0, len(chunks), TOGETHER):
+            part = chunks[at : at + TOGETHER]
+            for chunk, (ids_a, spans_a), (ids_b, spans_b) in zip(part, self.tokens_a(part), self.tokens_b(part), strict=True):
+                raw_a, raw_b, raw = [self.bytes_a[k] for k in ids_a], [self.bytes_b[k] for k in ids_b], chunk.encode()
+                if b"".join(raw_a) != raw or b"".join(raw_b) != raw:
+                    yield None
+                elif len(ids_a) == len(ids_b) == 1:
+                    yield f"{ids_a[0]}|{ids_b[0]}", 1, 1, 1, [ids_a[0] * RADIX + ids_b[0]]
+                else:
+                    groups, n, links = grouped(ids_a, byte_ends(spans_a, raw_a), ids_b, byte_ends(spans_b, raw_b))
+                    yield groups, len(ids_a), len(ids_b), n, links
 
 
 @lru_cache(maxsize=2)
@@ -136,19 +155,25 @@ class Chunks:
     """Numbered chunks and what was found of each; number 0 is a chunk that can't be aligned."""
 
     def __init__(self, by: Aligner):
-        self.by, self.number, self.groups, self.sizes, self.links = by, {}, [""], [(0, 0, 0, 0)], [[]]
+        self.by, self.number, self.groups, self.sizes, self.links = by, {}, [""], array("q", [0] * 4), [b""]
 
     def learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for chunk, found in zip(part, self.by.align(part), strict=True):
-                if found is None:
-                    self.number[chunk] = 0
-                    continue
-                self.number[chunk] = len(self.groups)
-                self.groups.append(found[0])
-                self.sizes.append((*found[1:4], len(found[4])))
-                self.links.append(found[4])
+        for chunk, found in zip(new, self.by.align(new), strict=True):
+            if found is None:
+                self.number[chunk] = 0
+                continue
+            self.number[chunk] = len(self.groups)
+            self.groups.append(found[0])
+            self.sizes.extend((*found[1:4], len(found[4])))
+            self.links.append(array("q", found[4]).tobytes())
+
+    def numbers(self, texts: list[list[str]]) -> list[list[int]]:
+        """The numbers of each text's chunks; those that are new are aligned together."""
+        get, found = self.number.get, [list(map(self.number.get, parts)) for parts in texts]
+        new = {c for parts, ks in zip(texts, found, strict=True) if None in ks for c, k in zip(parts, ks, strict=True) if k is None}
+        if new:
+            self.learn(list(new))
+        return [list(map(get, parts)) if None in ks else ks for parts, ks in zip(texts, found, strict=True)]
 
 
 def summed(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -167,41 +192,41 @@ class Blocks:
         folder, a, b = self.files
         self.chunks = Chunks(aligner(vocabulary_path(folder, a), vocabulary_path(folder, b)))
         self.kind, self.block = pa.int64(), TaskContext.get().partitionId() << 32
-        ids, shas, codes, chars = [], [], [], 0
+        ids, held, pending, chars, waiting = [], ([], []), [], 0, 0
         for batch in batches:
             self.kind = batch.column(0).type
-            for doc, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found, sha = self.text(text)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(doc)
-                shas.append(sha)
-                codes.append(found)
-                chars += len(text or "")
+                pending.append(self.chunks.by.chunks(text) if text else [])
+                waiting += len(text or "")
+                if waiting < PENDING_CHARS and waiting + chars < self.block_chars:
+                    continue
+                self.taken(pending, *held)
+                chars, waiting, pending = chars + waiting, 0, []
                 if chars >= self.block_chars or len(self.chunks.groups) >= self.remembered:
-                    yield from self.ended(ids, shas, codes)
-                    ids, shas, codes, chars = [], [], [], 0
+                    yield from self.ended(ids, *held)
+                    ids, held, chars = [], ([], []), 0
         if ids:
-            yield from self.ended(ids, shas, codes)
-
-    def text(self, text: str | None) -> tuple[np.ndarray, str]:
-        """The numbers of the text's chunks, none if it can't be aligned, and the digest of its groups."""
-        if not text:
-            return np.zeros(0, np.int64), ""
-        parts, chunks = self.chunks.by.chunks(text), self.chunks
-        if new := set(parts).difference(chunks.number):
-            chunks.learn(list(new))
-        found = list(map(chunks.number.__getitem__, parts))
-        if 0 in found:
-            return np.zeros(0, np.int64), ""
-        return np.array(found), hashlib.sha256(";".join(map(chunks.groups.__getitem__, found)).encode()).hexdigest()
+            self.taken(pending, *held)
+            yield from self.ended(ids, *held)
+
+    def taken(self, texts: list[list[str]], shas: list[str], codes: list[np.ndarray]) -> None:
+        """Adds the digest of each text's groups and the numbers of its chunks, none if it can't be aligned."""
+        for found in self.chunks.numbers(texts):
+            if not found or 0 in found:
+                shas.append("")
+                codes.append(np.zeros(0, np.int32))
+            else:
+                shas.append(hashlib.sha256(";".join(map(self.chunks.groups.__getitem__, found)).encode()).hexdigest())
+                codes.append(np.array(found, np.int32))
 
     def ended(self, ids: list, shas: list[str], codes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """The block's rows."""
         ends = np.cumsum([len(c) for c in codes])
         used, local, times = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
-        sizes = np.array([self.chunks.sizes[k] for k in used], np.int64).reshape(len(used), 4)
+        sizes = np.frombuffer(self.chunks.sizes, np.int64).reshape(-1, 4)[used]
         sums = [summed(sizes[local, c], ends) for c in range(4)]
-        links = [self.chunks.links[k] for k in used]
-        flat = np.array([x for part in links for x in part], np.int64)
+        flat = np.frombuffer(b"".join([self.chunks.links[k] for k in used.tolist()]), np.int64)
         pairs, place = np.unique(flat, return_inverse=True)
         counts = np.zeros(len(pairs), np.int64)
         np.add.at(counts, place, np.repeat(times, sizes[:, 3]))
@@ -211,7 +236,7 @@ class Blocks:
         for at in range(0, len(ids), step):
             to = min(len(ids), at + step)
             own = [local[starts[k] : starts[k + 1]].tobytes() for k in range(at, to)]
-            yield self.rows(pa.array([d.as_py() for d in ids[at:to]], self.kind), np.arange(at, to), [s[at:to] for s in sums], shas[at:to], own, None)
+            yield self.rows(pa.array(ids[at:to], self.kind), np.arange(at, to), [s[at:to] for s in sums], shas[at:to], own, None)
         table = ([pairs], [counts], [np.cumsum(sizes[:, 3]).astype("<i8").tobytes()], [place.astype("<i4").tobytes()])
         yield self.rows(pa.nulls(1, self.kind), [-1], [[0]] * 4, [""], [b""], table)
         self.block += 1

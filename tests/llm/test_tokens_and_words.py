@@ -167,8 +167,8 @@ def test_alignment_by_chunks_is_that_of_whole_texts():
 
 
 def test_spans_are_refined_by_bytes():
-    assert aligned.byte_ends([(0, 1), (1, 4), (1, 4), (1, 4), (4, 6)], [1, 1, 1, 1, 2]) == [1, 2, 3, 4, 6]
-    assert aligned.byte_ends([(0, 0), (0, 2)], [1, 2]) == [1, 3]
+    assert aligned.byte_ends([(0, 1), (1, 4), (1, 4), (1, 4), (4, 6)], [b"a", b"x", b"y", b"z", b"bc"]) == [1, 2, 3, 4, 6]
+    assert aligned.byte_ends([(0, 0), (0, 2)], [b"a", b"bc"]) == [1, 3]
     assert aligned.grouped([1, 2, 3], [2, 3, 7], [8, 9, 7], [3, 5, 7]) == ("1,2|8;3|9,7", 2, [1 * aligned.RADIX + 8, 2 * aligned.RADIX + 8, 3 * aligned.RADIX + 9, 3 * aligned.RADIX + 7])
 
 
