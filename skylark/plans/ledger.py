@@ -12,7 +12,9 @@ from skylark.functions import scores
 from skylark.operators import text as engines
 from skylark.plans.cases import OWNED, owned
 from skylark.plans.engines import GRAVITY, RELEVANCE, gravity, relevance
-from skylark.plans.flags import admitted, story_words
+from skylark.operators.ordered import walked
+from skylark.operators.rules import Outbreak
+from skylark.plans.flags import story_words
 from skylark.plans.registry import query
 from skylark.plugins import Registry
 from skylark.session import checkpoint_folder, checkpointed
@@ -282,9 +284,10 @@ def r04_title_duplicates(spark, sf):
 
 @query()
 def r05_outbreak_admissions(spark, sf):
-    """Of reports on the same outbreak (here of an actor and a source), one in 72 hours begins it; the others are its chain."""
-    s = signals(spark, sf).where("actor_id is not null").select(F.col("signal_id").alias("id"), "ts", F.concat_ws(":", F.col("actor_id").cast("string"), "source").alias("outbreak"))
-    return admitted(s, most=1, hours=72.0, key="outbreak").select(F.col("id").alias("signal_id"), F.when(F.col("admitted"), "opens").otherwise("chained").alias("outcome"))
+    """Of reports on the same outbreak (here of an actor and a source), the first in 72 hours opens it, one of higher authority than the best that stands is chained to that, and the others are blocked; the fifth in a day is a surge."""
+    outbreak = F.concat_ws(":", F.col("actor_id").cast("string"), "source")
+    s = signals(spark, sf).where("actor_id is not null").select(outbreak.alias("key"), F.unix_micros("ts").alias("t"), F.col("signal_id").alias("id"), (F.col("signal_id") % 3 + 1).cast("int").alias("tier"))
+    return walked(s, Outbreak()).select(F.col("id").alias("signal_id"), "outcome", "parent", "surge")
 
 
 @query(f"""WITH {SIGNALS}, w AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00' - INTERVAL 23 HOUR, TIMESTAMP '2024-01-31 00:00:00', INTERVAL 1 HOUR)) AS start)

@@ -9,6 +9,7 @@ from skylark.adapters import PART_ORDERS, SIGNALS, part_orders, signals, table
 from skylark.functions.scores import z_confidence
 from skylark.operators import joins
 from skylark.params import Anomaly, Emergence
+from skylark.operators.ordered import numbered
 from skylark.plans.registry import query
 
 def count():
@@ -126,13 +127,20 @@ def w09_time_buckets(spark, sf):
     return signals(spark, sf).groupBy(F.floor(F.unix_date(day) / 2).alias("bucket48"), F.date_format("ts", "yyyyMM").alias("month"), week.alias("week")).agg(count().alias("n"))
 
 
-@query("""WITH x AS (SELECT 'order' AS kind, o_orderkey AS id, o_custkey AS k, CAST(o_orderdate AS DATE) AS day FROM orders UNION ALL SELECT 'line', l_orderkey * 10 + l_linenumber, o_custkey, CAST(l_shipdate AS DATE) FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
-SELECT kind, id, k, row_number() OVER (PARTITION BY k ORDER BY day, kind, id) AS seq FROM x""")
+@query("""WITH x AS (
+  SELECT 'order' AS kind, o_orderkey AS id, CAST(o_orderdate AS DATE) AS day FROM orders
+  UNION ALL SELECT 'line', l_orderkey * 10 + l_linenumber, CAST(l_shipdate AS DATE) FROM lineitem
+  UNION ALL SELECT 'event', event_id, CAST(ts AS DATE) FROM events)
+SELECT kind, id, row_number() OVER (ORDER BY day, kind, id) AS seq FROM x""")
 def w10_sequence_numbers(spark, sf):
-    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    orders = o.select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("day"))
-    lines = li.join(o, F.col("o_orderkey") == F.col("l_orderkey")).select(F.lit("line").alias("kind"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("o_custkey").alias("k"), F.to_date("l_shipdate").alias("day"))
-    return orders.unionByName(lines).withColumn("seq", F.row_number().over(Window.partitionBy("k").orderBy("day", "kind", "id"))).drop("day")
+    """One sequence over three kinds of entities by effective date, kind and id: ranges are counted, then numbered by themselves."""
+    o, li, e = (table(spark, sf, t) for t in ("orders", "lineitem", "events"))
+    kinds = [
+        o.select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("day")),
+        li.select(F.lit("line").alias("kind"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.to_date("l_shipdate").alias("day")),
+        e.select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.to_date("ts").alias("day")),
+    ]
+    return numbered(kinds[0].unionByName(kinds[1]).unionByName(kinds[2]), ["day", "kind", "id"]).drop("day")
 
 
 @query("SELECT o_custkey AS k, year(o_orderdate) AS year, string_agg(month(o_orderdate)::VARCHAR || ':' || o_orderkey::VARCHAR, ',' ORDER BY month(o_orderdate), o_orderkey) AS months FROM orders GROUP BY 1, 2")

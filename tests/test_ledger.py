@@ -10,6 +10,7 @@ from skylark.adapters import signals
 from skylark.plans import ledger
 from skylark.plugins import Registry
 from test_flags import told, words
+from test_state import plain_outbreaks
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,15 +30,11 @@ def test_title_duplicates(spark, block, tag, hours):
     assert got == want and set(want.values()) >= {"blocked", "new"}
 
 
-def test_outbreaks_open_after_a_pause(spark):
-    last, want = {}, {}
-    for r in sorted(signals(spark, SF).where("actor_id is not null").collect(), key=lambda r: (r.ts, r.signal_id)):
-        key = (r.actor_id, r.source)
-        opens = key not in last or r.ts - last[key] > timedelta(hours=72)
-        if opens:
-            last[key] = r.ts
-        want[r.signal_id] = "opens" if opens else "chained"
-    assert {r.signal_id: r.outcome for r in own.queries()["r05_outbreak_admissions"](spark, SF).collect()} == want
+def test_outbreaks_by_authority(spark):
+    rows = signals(spark, SF).where("actor_id is not null").withColumn("t", F.unix_micros("ts")).collect()
+    want = plain_outbreaks((f"{r.actor_id}:{r.source}", r.t, r.signal_id, r.signal_id % 3 + 1) for r in rows)
+    got = {r.signal_id: (r.outcome, r.parent, r.surge) for r in own.queries()["r05_outbreak_admissions"](spark, SF).collect()}
+    assert got == want
 
 
 def test_failing_scorers_leave_the_others_alone(spark):
