@@ -1,10 +1,11 @@
 """Grouping of spelling variants: words that differ by one edit, found with asymmetric q-chunks.
 
-A word contributes two disjoint chunks, each of half its length, to one side of a join, and all its positional grams of the chunks' lengths to the other. One inserted, deleted or replaced code point leaves
-at least one chunk of a word whole, shifted by one place at most, so words that are one edit apart share a chunk and a gram within a shift of one; Levenshtein's distance then decides. Of the grams, only
-those within that shift of a chunk's place in a word of a fitting length can match, and only they are made. A pair that shares both chunks is taken by the first.
+A word contributes its two halves as disjoint chunks to one side of a join, and positional grams of the chunks' lengths to the other. One inserted, deleted or replaced code point leaves at least one chunk of a
+word whole: the first at its place if the edit comes after it, the second shifted by the difference in length, one at most, if the edit comes before it. Only these grams are made. The edit lies in what is
+left of both words beside the whole chunk, so that is cut in two in the same way, and one of its parts is whole as well: chunk and part together are the key, about three quarters of a word, under which
+few words meet by chance. Levenshtein's distance then decides; a pair that shares several keys is taken by the first.
 
-All on the JVM's side: counts are pre-aggregated, keys are chunks with place and length, and a frequent one is split by adaptive skew joins.
+All on the JVM's side: counts are pre-aggregated, keys are hashed with place and length, and a frequent one is split by adaptive skew joins.
 """
 
 from __future__ import annotations
@@ -36,23 +37,30 @@ def word_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", eve
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
+def whole_parts(size: Column) -> list[tuple[Column, Column]]:
+    """For each key of a word of this length, how many code points at its beginning and at its end are whole: a chunk, and a part of the rest."""
+    half = F.floor(size / 2).cast("int")
+    after, before = F.floor((size - half) / 2).cast("int"), F.floor(half / 2).cast("int")
+    return [(half + after, F.lit(0)), (half, size - half - after), (before, size - half), (F.lit(0), size - before)]
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(word, n, other, other_n): every ordered pair of distinct words one edit apart, once. words: (word, n), distinct words of two code points or more."""
-    size, half = F.char_length("word"), F.floor(F.char_length("word") / 2).cast("int")
-    piece = lambda start, n: F.substring(F.col("word"), start, n)  # noqa: E731  start from 1
-    chunk = lambda k, start: F.struct(F.lit(k).alias("k"), size.alias("size"), piece(start, half).alias("gram"))
-    chunks = words.select("word", "n", F.explode(F.array(chunk(0, F.lit(1)), chunk(1, half + 1))).alias("key"))
-    grams = []
-    for longer in (-1, 0, 1):  # than this word: the other's length, and with it the length of its chunks
-        q = F.floor((size + longer) / 2).cast("int")
-        for k, starts in ((0, (F.lit(1), F.lit(2))), (1, (q, q + 1, q + 2))):
-            grams += [F.when((size + longer > 1) & (s > 0), F.struct(F.lit(k).alias("k"), (size + longer).alias("size"), piece(s, q).alias("gram"))) for s in starts]
-    others = words.select(F.col("word").alias("other"), F.col("n").alias("other_n"), F.explode(F.array_distinct(F.array_compact(F.array(*grams)))).alias("key"))
-    found = chunks.join(others, "key").where(F.col("word") != F.col("other"))
-    at = lambda start: F.substring(F.col("other"), start, half)
-    first = (at(F.lit(1)) == piece(F.lit(1), half)) | (at(F.lit(2)) == piece(F.lit(1), half))
-    found = found.where((F.col("key.k") == 0) | ~first).where(F.levenshtein("word", "other", 1) == 1)
-    return found.select("word", "n", "other", "other_n")
+    size = F.char_length("word")
+
+    def keys(longer: int) -> list[Column]:
+        """The keys of a word that is so much longer, in this word."""
+        whole = size + longer
+        found = [F.struct(F.lit(k).alias("k"), whole.alias("size"), F.left("word", a).alias("begin"), F.right("word", b).alias("end")) for k, (a, b) in enumerate(whole_parts(whole))]
+        return [F.when(whole > 1, f) for f in found]
+
+    chunks = words.select("word", "n", F.explode(F.array(*keys(0))).alias("key"))
+    grams = F.array_compact(F.array(*[k for longer in (-1, 0, 1) for k in keys(longer)]))
+    others = words.select(F.col("word").alias("other"), F.col("n").alias("other_n"), F.explode(grams).alias("key"))
+    found = chunks.join(others, "key").where(F.col("word") != F.col("other")).where(F.levenshtein("word", "other", 1) == 1)
+    shared = [(F.left("word", a) == F.left("other", a)) & (F.right("word", b) == F.right("other", b)) for a, b in whole_parts(size)]
+    first = F.when(shared[0], 0).when(shared[1], 1).when(shared[2], 2).otherwise(3)
+    return found.where(F.col("key.k") == first).select("word", "n", "other", "other_n")
 
 
 def rooted(forms: DataFrame) -> DataFrame:
