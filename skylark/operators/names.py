@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from skylark.functions.align import jaro_winkler, jaro_winkler_exact
 from skylark.functions.text import normal_name
+from skylark.operators import automaton
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -15,14 +17,31 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
+def known_runs(names: DataFrame) -> DataFrame:
+    """(run, n, name_id): the names' words, joined by blanks; of names of equal words the least id."""
+    known = names.select("name_id", words_of(F.col("name")).alias("w")).where(F.size("w") > 0)
+    return known.groupBy(F.array_join("w", " ").alias("run"), F.size("w").alias("n")).agg(F.min("name_id").alias("name_id"))
+
+
+def mentions(docs: DataFrame, names: DataFrame, most: int = automaton.MOST_PATTERNS) -> DataFrame:
     """(doc_id, place, name_id): names (name_id, name) at whole words of texts (doc_id, text), case aside; place counts words from 0.
 
-    The leftmost name is taken first, of those that begin there the longest, and no word belongs to two. Runs of as many words as some name has are joined with the names' words,
-    so that the work follows the texts' length and not the number of names. Names of equal words count by their least id; those without a word are never met.
+    The leftmost name is taken first, of those that begin there the longest, and no word belongs to two. Names of equal words count by their least id; those without a word are never met.
+    Up to `most` names are an automaton that walks each text where it is read; more are joined with the runs of the texts' words.
     """
-    known = names.select("name_id", words_of(F.col("name")).alias("w")).where(F.size("w") > 0)
-    known = known.groupBy(F.array_join("w", " ").alias("run"), F.size("w").alias("n")).agg(F.min("name_id").alias("name_id"))
+    known = known_runs(names)
+    few = known.limit(most + 1).collect()
+    if len(few) > most:
+        return mentions_by_join(docs, known)
+    few.sort()
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.lower("text").alias("_text"))
+    found = automaton.hits(texts, F.col("_text"), [automaton.as_words(r.run.split(" ")) for r in few])
+    table = docs.sparkSession.createDataFrame([(k, r.name_id) for k, r in enumerate(few)], StructType([StructField("pattern", IntegerType()), StructField("name_id", names.schema["name_id"].dataType)]))
+    return found.select("doc_id", "hit.place", "hit.pattern").join(F.broadcast(table), "pattern").select("doc_id", "place", "name_id")
+
+
+def mentions_by_join(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """As `mentions`: runs of as many words as some name has are joined with the names' words, so that the work follows the texts' length and not the number of names."""
     sizes = [r.n for r in known.select("n").distinct().orderBy("n").collect()]  # as many numbers as there are lengths of names
     words = docs.where(F.col("text").isNotNull()).select("doc_id", words_of(F.col("text")).alias("w"))
     place = words.select("doc_id", F.posexplode("w").alias("place", "word"))
@@ -34,7 +53,7 @@ def mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
         part = place.select("doc_id", "place", run.alias("run"), F.lit(n).alias("n"), *([F.lead("word", n - 1).over(along).alias("_last")] if n > 1 else [F.col("word").alias("_last")])).where(F.col("_last").isNotNull()).drop("_last")
         runs = part if runs is None else runs.unionByName(part)
     if runs is None:
-        return place.select("doc_id", "place", F.lit(None).cast(names.schema["name_id"].dataType).alias("name_id")).limit(0)
+        return place.select("doc_id", "place", F.lit(None).cast(known.schema["name_id"].dataType).alias("name_id")).limit(0)
     met = runs.join(known, ["run", "n"]).groupBy("doc_id", "place").agg(F.max_by(F.struct("n", "name_id"), "n").alias("m"))
     hits = met.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "m.n", "m.name_id"))).alias("hits"))
     start = F.struct(F.lit(0).alias("end"), F.array().cast(hits.schema["hits"].dataType).alias("kept"))

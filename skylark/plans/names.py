@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skylark.adapters import table
-from skylark.operators import joins
+from skylark.operators import automaton, joins
 from skylark.operators import names as N
 from skylark.plans.registry import query
 
@@ -37,6 +37,23 @@ def t38_mention_links(spark, sf):
     return found.where("doc_id <> name_id").groupBy(F.col("doc_id").alias("source"), F.col("name_id").alias("target")).agg(count().alias("n"))
 
 
+CASE_COUNT = 20
+
+
+@query(f"""WITH a AS (
+  SELECT item_id AS actor_id, item_id % {CASE_COUNT} AS case_id, lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) AS name, lower(split_part(text, ' ', 2)) AS surname
+  FROM benchmark WHERE item_id % 3 <> 0 AND split_part(text, ' ', 2) <> '')
+SELECT doc_id AS signal_id, actor_id FROM documents JOIN a ON doc_id % {CASE_COUNT} = case_id AND (contains(lower(text), name) OR contains(lower(text), surname))""")
+def g73_case_text_links(spark, sf):
+    """Actors without links get those of their cases' texts that hold the full name or the surname anywhere. Items stand for actors, named by two words; a third of them have links already."""
+    w = F.split("text", " ")
+    actors = table(spark, sf, "benchmark").where("item_id % 3 <> 0").select(F.col("item_id").alias("actor_id"), (F.col("item_id") % CASE_COUNT).alias("case_id"), F.get(w, F.lit(0)).alias("given"), F.get(w, F.lit(1)).alias("surname")).where("surname <> ''")
+    named = actors.select("actor_id", "case_id", F.explode(F.array(F.lower(F.concat_ws(" ", "given", "surname")), F.lower("surname"))).alias("name"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = automaton.held_by(docs, named.select("name")).withColumn("case_id", F.col("doc_id") % CASE_COUNT)
+    return found.join(named, ["case_id", "name"]).select(F.col("doc_id").alias("signal_id"), "actor_id").distinct()
+
+
 @query()
 def g64_mention_bridge(spark, sf):
     """Edges of names and the texts that hold them, and of names that share a text."""

@@ -4,7 +4,7 @@ import random
 import re
 
 from skylark.functions import align
-from skylark.operators import names
+from skylark.operators import automaton, names
 
 
 def plain_mentions(text, known):
@@ -31,6 +31,23 @@ def test_mentions(spark):
     assert sorted(tuple(r) for r in got) == sorted(want) and len(want) > 40
     none = names.mentions(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(listed[5:6], "name_id long, name string"))
     assert none.count() == 0
+    # More names than are sent to the workers: the same by joins.
+    joined = names.mentions(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(listed, "name_id long, name string"), most=3).collect()
+    assert sorted(tuple(r) for r in joined) == sorted(want)
+
+
+def test_mentions_shuffle_no_words(spark):
+    found = names.mentions(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "b")], "name_id long, name string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_names_held_anywhere(spark):
+    texts = [(1, "Unter Öltank und Tankwart"), (2, None), (3, ""), (4, "x" * 50_000 + "TANK")]
+    for many in (1, 1_500):
+        listed = [("tank",), ("Tankwart",), ("öl",), ("",), (None,), ("wart",)] + [(f"none{k}",) for k in range(many)]
+        got = automaton.held_by(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(listed, "name string")).collect()
+        assert sorted(tuple(r) for r in got) == sorted((i, n) for i, t in texts if t for n in {n.lower() for n, in listed if n} if n in t.lower())
 
 
 def normal(n):
