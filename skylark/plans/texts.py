@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skylark.adapters import table
 from skylark.functions import text as T
 from skylark.operators import joins
 from skylark.operators import text as engines
+from skylark.operators import search
+from skylark.operators.search import Search
 from skylark.plans.registry import SQL, query
-from skylark.session import checkpointed
+from skylark.session import checkpoint_folder, checkpointed
 
 def count():
     return F.count(F.lit(1))
@@ -133,6 +137,27 @@ def t39_bm25(spark, sf):
     return engines.bm25(terms, wanted, n, float(mean or 1)).select("doc_id", F.round("score", 6).alias("score"))
 
 
+#: Texts with "and" and either of two phrases, but without "license".
+SEARCH = Search(all_of=((("and",),), (("of", "the"), ("and", "the", "of"), ("stupid",))), none_of=(("license",),))
+
+
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE text IS NOT NULL),
+c AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
+p(k, phrase) AS (VALUES (0, ['and']), (1, ['of', 'the']), (2, ['and', 'the', 'of']), (3, ['stupid']), (4, ['license'])),
+t AS (SELECT doc_id, len(w) AS len, k, len(list_filter(range(1, len(w) + 1), lambda i: w[i:i + len(phrase) - 1] = phrase)) AS tf FROM w, p),
+d AS (SELECT k, count(*) FILTER (tf > 0) AS df FROM t GROUP BY k),
+fits AS (
+  SELECT doc_id FROM t GROUP BY doc_id
+  HAVING count(*) FILTER (k = 0 AND tf > 0) > 0 AND count(*) FILTER (k IN (1, 2, 3) AND tf > 0) > 0 AND count(*) FILTER (k = 4 AND tf > 0) = 0)
+SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+FROM t JOIN d USING (k) JOIN fits USING (doc_id), c WHERE k < 4 GROUP BY doc_id""")
+def t39_phrase_search(spark, sf):
+    """Phrases and boolean terms in a positional index, ranked."""
+    folder = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    search.write_index(table(spark, sf, "documents").select("doc_id", "text"), folder)
+    return search.found(spark, folder, SEARCH).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("SELECT doc_id, CASE WHEN length(text) < 50 THEN 'stub' WHEN length(text) < 200 THEN 'short' WHEN regexp_matches(text, '[0-9]{4}') THEN 'entity' ELSE 'plain' END AS tier, regexp_extract(text, '([0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3})', 1) AS address, regexp_extract(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+') AS mail FROM documents".replace("\\\\", "\\"))
 def t40_triage(spark, sf):
     t = F.col("text")
