@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skylark.adapters import REPORTS, SIGNALS, part_orders, reports, signals, table
 from skylark.functions import parse
 from skylark.functions import text as T
-from skylark.operators import graph, joins
+from skylark.operators import graph, joins, louvain
 from skylark.plans.engines import PAIRS_SQL, correlated, gravity, relevance
 from skylark.plans.engines import GRAVITY as GRAVITY_SQL
 from skylark.plans.engines import RELEVANCE as RELEVANCE_SQL
@@ -228,9 +228,33 @@ def s20_dossiers(spark, sf):
     return d.select(T.slug(stem).alias("slug"), F.initcap(F.translate(stem, "-_", "  ")).alias("title"), parse.dossier_html(F.col("text")).alias("html"))
 
 
+def sharing_parts(spark, sf):
+    """Links of parts that share two orders or more."""
+    return joins.shared_key_pairs(part_orders(spark, sf), "actor_id", "event_id").where("shared >= 2").withColumnRenamed("shared", "weight")
+
+
+def within_largest(links):
+    """The links of the largest connected group."""
+    parts = checkpointed(graph.components(links.select("a", "b")))
+    largest = parts.groupBy("component").agg(count().alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
+    return links.join(parts.join(F.broadcast(largest), "component").select(F.col("node").alias("a")), "a", "left_semi")
+
+
+@query()
+def g24_modularity_communities(spark, sf):
+    """Communities by modularity within the largest connected group of parts."""
+    return louvain.communities(within_largest(checkpointed(sharing_parts(spark, sf))))
+
+
+@query()
+def g26_modularity_communities_of_all(spark, sf):
+    """The same over all connected groups."""
+    return louvain.communities(sharing_parts(spark, sf))
+
+
 @query()
 def g24_label_communities(spark, sf):
-    """Communities of parts that share two orders or more, within the largest connected group; by label propagation, as merging by modularity has no end in sight here."""
+    """Communities of parts that share two orders or more, within the largest connected group; by label propagation."""
     links = checkpointed(joins.shared_key_pairs(part_orders(spark, sf), "actor_id", "event_id").where("shared >= 2").withColumnRenamed("shared", "weight"))
     parts = checkpointed(graph.components(links.select("a", "b")))
     largest = parts.groupBy("component").agg(count().alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
