@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skylark.adapters import table
 from skylark.plans.registry import query
-from skylark.sources import notices
+from skylark.sources import files, notices
 
 
 def text(c):
@@ -69,3 +69,24 @@ def t43_procurement(spark, sf):
 def t01_refined_texts(spark, sf):
     """All pages by the whole rule, with all character references and the tags that they hid."""
     return table(spark, sf, "pages").select("page_id", notices.refined(F.col("html")).alias("plain"))
+
+
+@query("""SELECT doc_id, 'jpeg' AS kind, round((doc_id * 7919 % 180000) / 1000.0 - 90, 4) AS lat, round((doc_id * 104729 % 360000) / 1000.0 - 180, 4) AS lng,
+strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id), '%Y-%m-%d %H:%M:%S') AS taken, sha256(text) AS text_sha256, md5(text) AS text_md5
+FROM documents WHERE text IS NOT NULL""")
+def s19_artifacts(spark, sf):
+    """Each text as a file, and a photograph that Spark makes of its number, whose directories are read again; files in folders are in the tests."""
+    word = lambda v, n: F.lpad(F.hex(v.cast("long")), n, "0")
+    lat, lng = F.col("doc_id") * 7919 % 180000 - 90000, F.col("doc_id") * 104729 % 360000 - 180000
+    taken = F.date_format(F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(secs=F.col("doc_id")), "yyyy:MM:dd HH:mm:ss")
+    rational = lambda v: F.concat(word(F.abs(v), 8), F.lit("000003E8" + "0000000000000001" * 2))  # noqa: E731  thousandths of a degree, no minutes, no seconds
+    ref = lambda v, n, p: F.when(v < 0, F.hex(F.lit(n))).otherwise(F.hex(F.lit(p)))
+    header = "4D4D002A00000008" + "0002" + "0132000200000014" + "00000026" + "8825000400000001" + "0000003A" + "00000000"
+    gps = [F.lit("0004" + "0001000200000002"), ref(lat, "S", "N"), F.lit("000000" + "0002000500000003" + "00000070" + "0003000200000002"), ref(lng, "W", "E"), F.lit("000000" + "0004000500000003" + "00000088" + "00000000")]
+    tiff = F.concat(F.lit(header), F.hex(taken), F.lit("00"), *gps, rational(lat), rational(lng))
+    app1 = F.concat(F.lit("457869660000"), tiff)
+    photo = F.unhex(F.concat(F.lit("FFD8FFE1"), word(F.length(app1) / 2 + 2, 4), app1, F.lit("FFDA0002")))
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("raw"), photo.alias("content"))
+    d = d.select("doc_id", "content", F.sha2("raw", 256).alias("text_sha256"), F.md5("raw").alias("text_md5"))
+    found = files.artifacts(d)
+    return found.select("doc_id", "kind", F.round("lat", 4).alias("lat"), F.round("lng", 4).alias("lng"), F.date_format("taken", "yyyy-MM-dd HH:mm:ss").alias("taken"), "text_sha256", "text_md5")
