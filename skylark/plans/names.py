@@ -25,7 +25,25 @@ def named_documents(spark, sf):
     return N.mentions(table(spark, sf, "documents").select("doc_id", "text"), item_names(spark, sf))
 
 
-@query()
+#: Words with their places meet the names that begin with them; from left to right, of equal places the longest name is taken and the next begins after it.
+MENTIONS = r"""WITH RECURSIVE named AS (
+  SELECT item_id AS name_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+names AS (
+  SELECT min(name_id) AS name_id, run, len(run) AS n
+  FROM (SELECT name_id, w[1:CASE WHEN name_id % 3 = 0 THEN 3 ELSE 2 END] AS run FROM named WHERE len(w) > 2) GROUP BY run),
+texts AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM texts),
+hits AS (SELECT doc_id, i - 1 AS place, name_id, n FROM places JOIN names ON w[i] = run[1] WHERE w[i:i + n - 1] = run),
+taken(doc_id, place, name_id, n) AS (
+  SELECT doc_id, place, name_id, n FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY place, n DESC) = 1
+  UNION ALL
+  SELECT doc_id, place, name_id, n
+  FROM (SELECT h.*, row_number() OVER (PARTITION BY h.doc_id ORDER BY h.place, h.n DESC) AS r FROM taken t JOIN hits h ON h.doc_id = t.doc_id AND h.place >= t.place + t.n)
+  WHERE r = 1)
+SELECT doc_id, place, name_id FROM taken"""
+
+
+@query(MENTIONS)
 def j17_name_mentions(spark, sf):
     return named_documents(spark, sf)
 
