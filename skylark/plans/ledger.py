@@ -282,7 +282,27 @@ def r04_title_duplicates(spark, sf):
     return title_duplicates(checkpointed(told)).withColumnRenamed("id", "signal_id")
 
 
-@query()
+def outbreaks_sql(reports: str, before: str = "") -> str:
+    """Outcomes of reports (key, t, signal_id, tier): all outbreaks at once, one report of each after the other. What stands is kept so that the least is of the lowest tier, and of these the latest."""
+    return f"""WITH RECURSIVE {before}reports AS ({reports}),
+c AS MATERIALIZED (SELECT key, t, signal_id, CAST(tier AS BIGINT) AS tier, row_number() OVER (PARTITION BY key ORDER BY t, signal_id) AS r FROM reports),
+walk(key, r, signal_id, outcome, parent, surge, stands, recent) AS (
+  SELECT DISTINCT key, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', CAST(NULL AS BIGINT), false,
+    CAST([] AS STRUCT(tier BIGINT, t BIGINT, id BIGINT)[]), CAST([] AS BIGINT[]) FROM c
+  UNION ALL
+  SELECT key, r, signal_id, outcome, CASE WHEN outcome = 'chained' THEN -best.id END, len(near) + 1 >= 5,
+    CASE WHEN outcome = 'blocked' THEN st ELSE list_append(st, {{'tier': tier, 't': -t, 'id': -signal_id}}) END, list_append(near, t)[-4:]
+  FROM (
+    SELECT *, CASE WHEN len(st) = 0 THEN 'opens' WHEN tier < best.tier THEN 'chained' ELSE 'blocked' END AS outcome
+    FROM (
+      SELECT *, list_min(st) AS best
+      FROM (
+        SELECT c.key, c.r, c.signal_id, c.t, c.tier, list_filter(w.stands, lambda x: c.t + x.t <= 259200000000) AS st, list_filter(w.recent, lambda x: c.t - x < 86400000000) AS near
+        FROM walk w JOIN c ON c.key = w.key AND c.r = w.r + 1))))
+SELECT signal_id, outcome, parent, surge FROM walk WHERE r > 0"""
+
+
+@query(outbreaks_sql("SELECT actor_id::VARCHAR || ':' || source AS key, epoch_us(ts) AS t, signal_id, signal_id % 3 + 1 AS tier FROM signals WHERE actor_id IS NOT NULL", f"{SIGNALS}, "))
 def r05_outbreak_admissions(spark, sf):
     """Of reports on the same outbreak (here of an actor and a source), the first in 72 hours opens it, one of higher authority than the best that stands is chained to that, and the others are blocked; the fifth in a day is a surge."""
     outbreak = F.concat_ws(":", F.col("actor_id").cast("string"), "source")

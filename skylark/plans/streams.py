@@ -8,6 +8,7 @@ from skylark.adapters import place
 from skylark.operators import rules
 from skylark.plans.registry import query
 from skylark.plans.flags import story_words
+from skylark.plans.ledger import outbreaks_sql
 from skylark.streaming import events as streams
 from skylark.streaming.merge import OneRow, Store, Sums, grouped, merging
 from skylark.streaming.state import settled
@@ -39,14 +40,17 @@ def outbreaks(rows):
     return rows.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), (F.col("event_id") % 3 + 1).cast("int").alias("tier"))
 
 
-@query()
+#: What a stream settles: all that is an hour or more older than the latest.
+FINAL = "epoch_ms(ts) <= (SELECT max(epoch_ms(ts)) FROM events WHERE user_id IS NOT NULL) - 3600000"
+
+
+@query(outbreaks_sql(f"SELECT user_id::VARCHAR AS key, epoch_us(ts) AS t, event_id AS signal_id, event_id % 3 + 1 AS tier FROM events WHERE user_id IS NOT NULL AND {FINAL}"))
 def r05_stream_outbreaks(spark, sf):
     """Reports opened, chained or blocked as they arrive; what stands is let go after 72 hours."""
     found = settled(outbreaks(event_stream(spark, sf)), rules.Outbreak(), "t bigint, id bigint, tier int")
     return streams.drained(found, streams.shared_folder(spark, "outbreaks")).select(F.col("id").alias("signal_id"), "outcome", "parent", "surge")
 
 
-FINAL = "epoch_ms(ts) <= (SELECT max(epoch_ms(ts)) FROM events WHERE user_id IS NOT NULL) - 3600000"
 
 
 @query(f"""WITH d AS (
