@@ -107,7 +107,7 @@ def court_roll(raw: DataFrame) -> DataFrame:
     """Rows of a court roll that hold a case number: case_number, title, parties, day. The parts are known by their form, not by their column."""
     line = F.array_join("cells", " | ")
     title = F.get(F.filter("cells", lambda c: c.rlike(r"(?i)\s(?:v|vs|versus)\.?\s")), F.lit(0))
-    number = F.regexp_extract(line, r"\b((?:[A-Z]{1,5}\s?)?\d{1,6}/(?:19|20)\d{2})\b", 1)
+    number = F.regexp_extract(line, r"\b((?:[A-Z]{1,5}\s?)?\d+/(?:19|20)\d{2})\b", 1)
     day = F.regexp_extract(line, r"\b(\d{4}-\d{2}-\d{2}|\d{1,2} [A-Z][a-z]+ \d{4}|\d{1,2}/\d{1,2}/\d{4})\b", 1)
     date = F.coalesce(*[F.to_date(F.try_to_timestamp(day, F.lit(f))) for f in ("yyyy-MM-dd", "d MMMM yyyy", "d MMM yyyy", "d/M/yyyy")])
     return cells(raw).where(number != "").select(number.alias("case_number"), title.alias("title"), parties(title).alias("parties"), date.alias("day"))

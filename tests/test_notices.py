@@ -94,3 +94,9 @@ def test_older_feeds_with_broken_records(spark):
     assert [x.ts and x.ts.minute for x in feeds.hotspots(raw(spark, *lines[:3])).collect()] == [5, None]
     assert feeds.sanctions(raw(spark, '36,"A, B",-0- ,"SDGT; X"', "37", "name only,x"), ["SDGT"]).collect()[0].name == "A, B"
     assert feeds.notices(raw(spark, "{", '{"page": 1}', '{"_embedded": {"notices": [{"name": "n"}, {"entity_id": "1"}]}}')).count() == 1
+
+
+def test_court_rolls_with_long_numbers(spark):
+    rows = "".join(f"<tr><td>{n}/2021</td><td>A v B</td><td>3 March 2024</td></tr>" for n in (999999, 1000000, 8999999, 12345678901))
+    got = {r.case_number for r in notices.court_roll(raw(spark, f"<table>{rows}</table>")).collect()}
+    assert got == {"999999/2021", "1000000/2021", "8999999/2021", "12345678901/2021"}
