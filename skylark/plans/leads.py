@@ -8,7 +8,7 @@ from skylark.adapters import REPORTS, SIGNALS, part_orders, reports, signals, ta
 from skylark.functions import parse
 from skylark.functions import text as T
 from skylark.operators import graph, joins, louvain
-from skylark.plans.engines import PAIRS_SQL, correlated, gravity, relevance
+from skylark.plans.engines import PAIRS_SQL, best_correlated, gravity, relevance
 from skylark.plans.engines import GRAVITY as GRAVITY_SQL
 from skylark.plans.engines import RELEVANCE as RELEVANCE_SQL
 from skylark.plans.registry import query
@@ -194,7 +194,7 @@ def g39_whole_feed(spark, sf):
     weight = F.when(F.col("stream") == "CRIME_INTEL", 1.0).when(F.col("stream") == "PRIORITY", 0.9).when(F.col("stream") == "INFRASTRUCTURE", 0.7).otherwise(0.3)
     score = F.col("rel") * 0.4 + F.col("is_priority") * 0.3 + F.coalesce("flag", F.lit(0.0)) + weight * 0.1
     found = best.join(near, "signal_id", "left").select(F.lit("signal").alias("kind"), F.col("signal_id").alias("id"), score.alias("score"))
-    pairs = correlated(live.where("source <> 'click' and ts >= timestamp'2024-01-29 00:00:00'")).where("score >= 0.85").select("a", "b", F.col("score").alias("c")).orderBy(F.desc("c"), "a", "b").limit(100)
+    pairs = best_correlated(live.where("source <> 'click' and ts >= timestamp'2024-01-29 00:00:00'"), 100, 0.85).withColumnRenamed("score", "c")
     end = live.select("signal_id", "rel", "is_priority")
     pairs = pairs.join(end.toDF("a", "rel_a", "p_a"), "a").join(end.toDF("b", "rel_b", "p_b"), "b")
     pairs = pairs.select(F.lit("pair").alias("kind"), F.col("a").alias("id"), (0.4 * (F.col("rel_a") + F.col("rel_b")) / 2 + 0.3 * F.greatest("p_a", "p_b") + 0.1).alias("score"))
