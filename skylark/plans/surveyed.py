@@ -10,7 +10,7 @@ from skylark.functions import text as T
 from skylark.operators import graph
 from skylark.params import Coalition
 from skylark.plans.cases import OWNED, owned
-from skylark.plans.engines import correlated
+from skylark.plans.engines import best_correlated
 from skylark.plans import kernels  # noqa: F401  its SQL is used
 from skylark.plans.graphs import LINKS, supplier_links
 from skylark.plans.network import DISTANCE
@@ -94,7 +94,7 @@ SELECT phrase, count(*) AS n, round(sum(score), 4) AS score, least({EVIDENCE}, c
 def g33_scored_phrases(spark, sf):
     """Phrases of two and three words in the titles of the best correlated pairs, scored by the pairs that say them; known phrases are left out. The numbers of pairs and of phrases are the engine's own."""
     r = checkpointed(reports(spark, sf))
-    best = correlated(r.where("source <> 'src0'").select("signal_id", "lat", "lng", "ts")).select("a", "b", "score").orderBy(F.desc("score"), "a", "b").limit(PAIRS)
+    best = best_correlated(r.where("source <> 'src0'").select("signal_id", "lat", "lng", "ts"), PAIRS)
     words = F.filter(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(T.STOP_WORDS))
     g = r.select("signal_id", words.alias("w")).select("signal_id", F.explode(F.concat(T.word_ngrams(F.col("w"), 2), T.word_ngrams(F.col("w"), 3))).alias("phrase"))
     said = best.select("score", F.explode(F.array("a", "b")).alias("signal_id")).join(g, "signal_id")
