@@ -87,6 +87,15 @@ def test_alerts_are_merged_in_order(spark):
     assert got == {k: (v[4], pytest.approx(v[5])) for k, v in heads.items()}
 
 
+def test_merged_alerts_of_one_place_make_no_pairs(spark):
+    """A hundred thousand alerts in one place within a day: five billion pairs, which were once written."""
+    n = 100_000
+    frame = spark.range(n).selectExpr("id", "'x' kind", "timestamp_millis(id * 864) ts", "5.0 lat", "7.0 lng", "1L n", "0.5D confidence").selectExpr("id", "kind", "ts", "double(lat) lat", "double(lng) lng", "n", "confidence")
+    got = {r.alert_id: r.alerts for r in flags.merged_alerts(frame).collect()}
+    # One stands, and the next is the first of more than six hours later.
+    assert got == {0: 25_001, 25_001: 25_001, 50_002: 25_001, 75_003: 24_997}
+
+
 def test_merged_alerts_of_signals_lose_none(spark):
     got = own.queries()["g20_merged_alerts"](spark, SF)
     assert got.agg({"signals": "sum"}).first()[0] == signals(spark, SF).where("status = 'promoted'").count()
