@@ -49,3 +49,10 @@ def test_narrative_clusters(spark, tmp_path):
 def test_corpus_queries_read_documents(spark):
     n = oracle.connect(SF).execute("SELECT count(*) FROM documents WHERE regexp_matches(lower(text), '[a-z]{3,}')").fetchone()[0]
     assert own.queries()["t15_tfidf_documents"](spark, SF).select("doc_id").distinct().count() == n
+
+
+def test_simhash_shuffles_nothing(spark):
+    from skylark import queries as own
+
+    plan = own.queries()["t16_md5_simhash"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
