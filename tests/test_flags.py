@@ -72,6 +72,17 @@ def test_campaigns(spark, hours, share, min_sources):
     assert got == want and want
 
 
+def test_copies_of_a_title_make_no_pairs(spark, monkeypatch):
+    """Three thousand reports of one title within an hour: over four million pairs, which were once written. What finds them sees sets of words, one each."""
+    n = 3000
+    frame = spark.range(n).selectExpr("id signal_id", "timestamp_seconds(id) ts", "concat('s', id % 4) source", "'gold price rises sharply' title")
+    monkeypatch.setattr(flags, "reports", lambda *_: frame)
+    alike = []
+    monkeypatch.setattr(flags.engines, "alike_sets", lambda sets, *a, find=flags.engines.alike_sets: alike.append(find(sets, *a)) or alike[0])
+    got = flags.campaign_flags(spark, SF).collect()
+    assert alike[0].count() == 0 and {(r.campaign, r.sources, r.members) for r in got} == {(0, 4, n)} and len(got) == n
+
+
 def test_alerts_are_merged_in_order(spark):
     rows = [(1, "a", 0, 10.0, 10.0), (2, "a", 1, 10.9, 10.0), (3, "a", 2, 11.5, 10.0), (4, "b", 2, 10.0, 10.0), (5, "a", 6, 10.1, 10.1), (6, "a", 7, 10.0, 10.0), (7, "a", 7, None, None), (8, "a", 7, None, None), (9, "a", 0, 10.0, 10.0)]
     frame = spark.createDataFrame([(i, k, h * 3600, la, ln, 1, 0.9 if i == 5 else 0.5) for i, k, h, la, ln in rows], "id long, kind string, s long, lat double, lng double, n long, confidence double")
