@@ -13,7 +13,7 @@ from skylark.operators import text as engines
 from skylark.plans.cases import OWNED, owned
 from skylark.plans.engines import GRAVITY, RELEVANCE, gravity, relevance
 from skylark.operators.ordered import walked
-from skylark.operators.rules import Outbreak
+from skylark.operators.rules import Outbreak, StandingTitles
 from skylark.plans.flags import story_words
 from skylark.plans.registry import query
 from skylark.plugins import Registry
@@ -268,12 +268,12 @@ def title_duplicates(told, hours: float = 24.0, block: float = 0.90, tag: float
     """told (id, ts, words) with outcome: 'blocked' if an earlier title that wasn't blocked is as alike as `block` within the hours, 'tagged' from `tag` on, else 'new'. Titles of fewer
     words than the shortest are always new and block nothing.
     """
-    key = F.struct(F.unix_micros("ts").alias("t"), "id")
-    pairs = checkpointed(engines.overlap_pairs(told.where(F.size("words") >= shortest), tag, hours).where(F.col("jaccard") >= tag))
-    blocked = checkpointed(engines.taken_by_seeds(pairs.where(F.col("jaccard") >= block).select("a", "b")).select("b"))
-    tagged = pairs.join(blocked.withColumnRenamed("b", "a"), "a", "left_anti").select("b").distinct()
-    x = told.select("id", key.alias("b")).join(blocked.withColumn("blocked", F.lit(True)), "b", "left").join(tagged.withColumn("tagged", F.lit(True)), "b", "left")
-    return x.select("id", F.when(F.col("blocked"), "blocked").when(F.col("tagged"), "tagged").otherwise("new").alias("outcome"))
+    words = F.array_sort(F.array_distinct("words"))
+    whole = F.coalesce((F.size("words") >= shortest) & F.col("ts").isNotNull(), F.lit(False))
+    sets = checkpointed(told.where(whole).select("id", "ts", F.unix_micros("ts").alias("t"), F.array_join(words, " ").alias("name"), words.alias("words")))
+    alike = engines.alike_sets(sets, tag, hours).where(F.col("jaccard") >= tag)
+    rows = engines.with_alike(sets.select("id", "t", "name"), alike, block=F.col("jaccard") >= block, tag=F.lit(True))
+    return told.where(~whole).select("id", F.lit("new").alias("outcome")).unionByName(walked(rows, StandingTitles(hours)).select("id", "outcome"))
 
 
 @query()

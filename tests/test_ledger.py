@@ -30,6 +30,15 @@ def test_title_duplicates(spark, block, tag, hours):
     assert got == want and set(want.values()) >= {"blocked", "new"}
 
 
+def test_titles_that_block_each_other_for_months_take_few_rounds(spark):
+    """A title every 13 hours: each stands or is blocked by whether the one before stands, once a round of joins for each of them."""
+    frame = spark.range(120).selectExpr("id", "timestamp_seconds(id * 46800) ts", "array('gold', 'price', 'rises') words")
+    spark.sparkContext.setJobGroup("titles", "titles")
+    got = {r.id: r.outcome for r in ledger.title_duplicates(frame, 24.0).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("titles"))
+    assert got == {i: "blocked" if i % 2 else "new" for i in range(120)} and jobs < 150
+
+
 def test_outbreaks_by_authority(spark):
     rows = signals(spark, SF).where("actor_id is not null").withColumn("t", F.unix_micros("ts")).collect()
     want = plain_outbreaks((f"{r.actor_id}:{r.source}", r.t, r.signal_id, r.signal_id % 3 + 1) for r in rows)
