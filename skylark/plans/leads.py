@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skylark.adapters import REPORTS, SIGNALS, part_orders, reports, signals, table
+from skylark.adapters import REPORTS, SIGNALS, part_links, reports, signals, table
 from skylark.functions import parse
 from skylark.functions import text as T
 from skylark.operators import graph, joins, louvain
@@ -230,7 +230,7 @@ def s20_dossiers(spark, sf):
 
 def sharing_parts(spark, sf):
     """Links of parts that share two orders or more."""
-    return joins.shared_key_pairs(part_orders(spark, sf), "actor_id", "event_id").where("shared >= 2").withColumnRenamed("shared", "weight")
+    return joins.shared_key_pairs(part_links(spark, sf), "actor_id", "event_id").where("shared >= 2").withColumnRenamed("shared", "weight")
 
 
 def within_largest(links):
@@ -255,7 +255,7 @@ def g26_modularity_communities_of_all(spark, sf):
 @query()
 def g24_label_communities(spark, sf):
     """Communities of parts that share two orders or more, within the largest connected group; by label propagation."""
-    links = checkpointed(joins.shared_key_pairs(part_orders(spark, sf), "actor_id", "event_id").where("shared >= 2").withColumnRenamed("shared", "weight"))
+    links = checkpointed(joins.shared_key_pairs(part_links(spark, sf), "actor_id", "event_id").where("shared >= 2").withColumnRenamed("shared", "weight"))
     parts = checkpointed(graph.components(links.select("a", "b")))
     largest = parts.groupBy("component").agg(count().alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
     inside = parts.join(F.broadcast(largest), "component").select(F.col("node").alias("a"))
@@ -265,5 +265,5 @@ def g24_label_communities(spark, sf):
 @query()
 def g26_label_communities_of_all(spark, sf):
     """The same over all connected groups, each with at least one community of its own."""
-    links = joins.shared_key_pairs(part_orders(spark, sf), "actor_id", "event_id").where("shared >= 2").withColumnRenamed("shared", "weight")
+    links = joins.shared_key_pairs(part_links(spark, sf), "actor_id", "event_id").where("shared >= 2").withColumnRenamed("shared", "weight")
     return graph.label_communities(links)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skylark.adapters import ACTOR_EVENTS, PART_ORDERS, SIGNALS, actor_events, part_orders, signals, table
+from skylark.adapters import ACTOR_EVENTS, PART_ORDERS, SIGNALS, actor_events, actor_links, part_orders, signals, table
 from skylark.operators import joins
 from skylark.plans.registry import query
 
@@ -89,13 +89,13 @@ def j02_left_aggregate(spark, sf):
 
 @query(f"WITH {ACTOR_EVENTS} SELECT a.actor_id AS a, b.actor_id AS b, count(*) AS shared, least(1.0, CAST(count(*) AS DOUBLE) / 10) AS confidence FROM actor_events a JOIN actor_events b ON a.event_id = b.event_id AND a.actor_id < b.actor_id GROUP BY 1, 2 HAVING count(*) >= 2")
 def g44_cooccurrence(spark, sf):
-    pairs = joins.shared_key_pairs(actor_events(spark, sf), "actor_id", "event_id").where("shared >= 2")
+    pairs = joins.shared_key_pairs(actor_links(spark, sf), "actor_id", "event_id").where("shared >= 2")
     return pairs.withColumn("confidence", F.least(F.lit(1.0), F.col("shared") / F.lit(10.0)))
 
 
 @query(f"WITH {ACTOR_EVENTS} SELECT a.actor_id AS actor, b.actor_id AS other, count(*) AS shared FROM actor_events a JOIN actor_events b ON a.event_id = b.event_id AND a.actor_id <> b.actor_id GROUP BY 1, 2 HAVING count(*) >= 3")
 def j04_both_directions(spark, sf):
-    pairs = joins.shared_key_pairs(actor_events(spark, sf), "actor_id", "event_id").where("shared >= 3")
+    pairs = joins.shared_key_pairs(actor_links(spark, sf), "actor_id", "event_id").where("shared >= 3")
     return pairs.select(F.col("a").alias("actor"), F.col("b").alias("other"), "shared").unionByName(pairs.select(F.col("b").alias("actor"), F.col("a").alias("other"), "shared"))
 
 
@@ -103,14 +103,14 @@ def j04_both_directions(spark, sf):
 SELECT x.s_name AS name_a, y.s_name AS name_b, shared FROM pairs JOIN supplier x ON a = x.s_suppkey JOIN supplier y ON b = y.s_suppkey""")
 def j05_both_endpoints(spark, sf):
     s = table(spark, sf, "supplier").select("s_suppkey", "s_name")
-    pairs = joins.shared_key_pairs(actor_events(spark, sf), "actor_id", "event_id")
+    pairs = joins.shared_key_pairs(actor_links(spark, sf), "actor_id", "event_id")
     return pairs.join(s.toDF("a", "name_a"), "a").join(s.toDF("b", "name_b"), "b").select("name_a", "name_b", "shared")
 
 
 @query(f"""WITH {ACTOR_EVENTS}, pairs AS (SELECT a.actor_id AS a, b.actor_id AS b, count(*) AS shared FROM actor_events a JOIN actor_events b ON a.event_id = b.event_id AND a.actor_id < b.actor_id GROUP BY 1, 2)
 SELECT s_name AS peer, shared FROM pairs JOIN supplier ON s_suppkey = CASE WHEN a = 7 THEN b ELSE a END WHERE a = 7 OR b = 7""")
 def j06_peers(spark, sf):
-    pairs = joins.shared_key_pairs(actor_events(spark, sf), "actor_id", "event_id").where("a = 7 or b = 7")
+    pairs = joins.shared_key_pairs(actor_links(spark, sf), "actor_id", "event_id").where("a = 7 or b = 7")
     peer = pairs.select(F.when(F.col("a") == 7, F.col("b")).otherwise(F.col("a")).alias("s_suppkey"), "shared")
     return peer.join(table(spark, sf, "supplier"), "s_suppkey").select(F.col("s_name").alias("peer"), "shared")
 
@@ -172,7 +172,7 @@ def j22_shared_exclusive(spark, sf):
 merged AS (SELECT a - a % 5 AS x, b - b % 5 AS y, w FROM pairs)
 SELECT least(x, y) AS a, greatest(x, y) AS b, max(w) AS w FROM merged WHERE x <> y GROUP BY 1, 2""")
 def j23_merge_aliases(spark, sf):
-    pairs = joins.shared_key_pairs(actor_events(spark, sf), "actor_id", "event_id")
+    pairs = joins.shared_key_pairs(actor_links(spark, sf), "actor_id", "event_id")
     canonical = lambda c: F.col(c) - F.col(c) % 5
     merged = pairs.select(canonical("a").alias("x"), canonical("b").alias("y"), "shared").where("x <> y")
     return merged.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("shared").alias("w"))
