@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 BUCKETS = 64
 WORD = "[a-z]+"
+#: Texts that a worker holds as Python objects.
+TEXTS_AT_ONCE = 32
+PLACES = pa.list_(pa.struct([("term", pa.string()), ("positions", pa.list_(pa.int32()))]))
 Phrase = tuple[str, ...]
 
 
@@ -32,20 +35,26 @@ class Search:
         return list(dict.fromkeys([*self.wanted(), *self.none_of]))
 
 
+def places(batch: pa.Array) -> pa.Array:
+    """Of each list of words its different words with their places. A batch may hold thousands of texts; few of them are Python objects at a time."""
+    done = []
+    for start in range(0, len(batch), TEXTS_AT_ONCE):
+        out = []
+        for words in batch.slice(start, TEXTS_AT_ONCE).to_pylist():
+            at: dict[str, list[int]] = {}
+            for k, w in enumerate(words or ()):
+                at.setdefault(w, []).append(k)
+            out.append([{"term": w, "positions": p} for w, p in at.items()])
+        done.append(pa.array(out, PLACES))
+    return pa.concat_arrays(done) if done else pa.array([], PLACES)
+
+
 def postings(docs: DataFrame, word: str = WORD) -> DataFrame:
     """(doc_id, len, term, positions): where each word of the lower-cased texts (doc_id, text) is, counted from 0."""
 
     @F.arrow_udf("array<struct<term:string,positions:array<int>>>")
     def placed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("term", pa.string()), ("positions", pa.list_(pa.int32()))]))
-        for batch in batches:
-            out = []
-            for words in batch.to_pylist():
-                at: dict[str, list[int]] = {}
-                for k, w in enumerate(words or ()):
-                    at.setdefault(w, []).append(k)
-                out.append([{"term": w, "positions": p} for w, p in at.items()])
-            yield pa.array(out, kind)
+        return map(places, batches)
 
     words = docs.where(F.col("text").isNotNull()).select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)).alias("w"))
     return words.select("doc_id", F.size("w").alias("len"), F.inline(placed("w")))

@@ -42,3 +42,20 @@ def test_rarer_phrases_and_shorter_texts_score_higher(spark, tmp_path):
     with_phrase = search.found(spark, str(tmp_path), search.Search(((("red", "moon"),),))).collect()
     assert [r.doc_id for r in with_phrase] == [4] and with_phrase[0].score == pytest.approx(with_phrase[0].score)
     assert search.found(spark, str(tmp_path), search.Search(((("moon", "red"),),))).select(F.count("*")).first()[0] == 1
+
+
+def test_a_batch_of_texts_is_not_held_as_objects():
+    """Five thousand texts of 200 words in one batch, which took 264 MB of Python objects at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from skylark.operators import search
+
+    batch = pa.array([[f"w{(k * 7 + n) % 150}" for k in range(200)] for n in range(5000)] + [None, []], pa.list_(pa.string()))
+    tracemalloc.start()
+    got = search.places(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 5002 and len(got[0]) == 150 and got[5000].as_py() == [] and got[3][0].as_py() == {"term": "w3", "positions": [0, 150]}
+    assert peak < 20e6
