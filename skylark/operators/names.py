@@ -9,6 +9,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from skylark.functions.align import jaro_winkler, jaro_winkler_exact
 from skylark.functions.text import normal_name
 from skylark.operators import automaton
+from skylark.session import checkpointed
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -100,17 +101,36 @@ def unmatched(a: int, b: int, least: float) -> int:
     return a + b - 2 * m
 
 
+def unequal(n: int, least: float) -> int:
+    """In how many places two names of this length that agree in all characters may differ at a Jaro-Winkler similarity of `least`: every character has its partner, so that twice the transpositions, and one left over, do."""
+    t = 0
+    while t < n and (2 + (n - t - 1) / n) / 3 >= (least - 0.4) / 0.6 - 1e-9:
+        t += 1
+    return min(n, 2 * t + 1)
+
+
 def alike(names: DataFrame, least: float = 0.98) -> DataFrame:
-    """(a, b, similarity) for a < b: all names (id, norm) alike by Jaro-Winkler. Names are distinct; for empty ones there is no pair.
+    """(a, b, similarity) for a < b: all names (id, norm) alike by Jaro-Winkler. Names are distinct; for empty ones there is no pair."""
+    scored = made_pairs(names, least).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), jaro_winkler(F.col("l.norm"), F.col("r.norm")).alias("similarity"))
+    return scored.where(F.col("similarity") >= least)
+
+
+def made_pairs(names: DataFrame, least: float = 0.98) -> DataFrame:
+    """(l, r) of names (id, norm) with l.id < r.id, each pair once: all that can be alike by Jaro-Winkler.
 
     For each two lengths it is known how many characters, d, may lack a partner. With the alphabet dealt into d + 1 classes, all characters of at least one class agree, so that
-    these, sorted, are the key of an equi-join: no pair is missed, whatever words the names have. Work follows the number of names that agree in a class; the nearer `least`
-    is to one, the more characters that is, and at 0.98 names of equal lengths under 20 agree in all of them.
+    these, sorted, are the key of an equi-join: no pair is missed, whatever words the names have. Where none may lack a partner, the names also have all but u of their places in common; with the places
+    dealt into u + 2 lots at least two of these agree and go into the key, so that names of the same digits in another order don't all meet. A pair is made under the first key that it shares only. Work
+    follows the number of names that agree in a key; the nearer `least` is to one, the more characters that is, and at 0.98 names of equal lengths under 20 agree in all of them.
     """
     held = names.where("norm <> ''").select(F.struct("id", "norm").alias("p"), F.char_length("norm").alias("n"), F.split("norm", "").alias("c"))
     lengths = sorted(r.n for r in held.select("n").distinct().collect())  # as many numbers as there are lengths of names
     two = [(a, b, unmatched(a, b, least) + 1) for a in lengths for b in lengths if a <= b and unmatched(a, b, least) >= 0]
-    lots = held.sparkSession.createDataFrame(two, "x int, y int, k int")
+    lots = held.sparkSession.createDataFrame([(a, b, k) for a, b, k in two if k > 1], "x int, y int, k int")
+    places: dict[int, list[int]] = {}
+    for a, _, k in two:
+        if k == 1:
+            places.setdefault(unequal(a, least) + 2, []).append(a)
 
     def keys(side: str, as_: str) -> DataFrame:
         x = held.join(F.broadcast(lots), F.col("n") == F.col(side)).select("p", "c", "x", "y", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
@@ -119,8 +139,23 @@ def alike(names: DataFrame, least: float = 0.98) -> DataFrame:
 
     met = keys("x", "l").join(keys("y", "r"), ["x", "y", "i", "key"]).where((F.col("x") < F.col("y")) | (F.col("l.id") < F.col("r.id")))
     pairs = met.select(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r")).distinct()
-    scored = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), jaro_winkler(F.col("l.norm"), F.col("r.norm")).alias("similarity"))
-    return scored.where(F.col("similarity") >= least)
+
+    # The pairs are the costly step: names and keys are spread by number, not by bytes, which are few.
+    tasks = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for k, sizes in places.items():
+        # Every k-th character, from each of the first k on: lots of places.
+        lot = lambda i: F.array_join(F.filter("c", lambda _, at: F.pmod(at, F.lit(k)) == i), "")  # noqa: B023, E731
+        same = held.where(F.col("n").isin(sizes)).repartition(tasks, "p").select("p", F.array_join(F.array_sort("c"), "").alias("all"), *[F.xxhash64(lot(i)).alias(f"h{i}") for i in range(k)])
+        same = checkpointed(same)
+        duo = [F.struct(F.lit(1 << i | 1 << j).alias("both"), F.lit((2 << j) - 1).alias("upto"), F.xxhash64("all", F.lit(i), f"h{i}", F.lit(j), f"h{j}").alias("key")) for j in range(k) for i in range(j)]
+        spread = same.select("p", *[f"h{i}" for i in range(k)], F.inline(F.array(*duo))).repartition(tasks, "key")
+        one, other = spread.alias("one"), spread.alias("other")
+        agree = sum((F.when(F.col(f"one.h{i}") == F.col(f"other.h{i}"), 1 << i).otherwise(0) for i in range(1, k)), F.when(F.col("one.h0") == F.col("other.h0"), 1).otherwise(0))
+        first = agree.bitwiseAND(F.col("one.upto")) == F.col("one.both")
+        near = one.join(other, F.col("one.key") == F.col("other.key")).where((F.col("one.p.id") < F.col("other.p.id")) & (F.col("one.both") - F.col("other.both") == 0) & first)
+        near = near.select(F.col("one.p").alias("l"), F.col("other.p").alias("r"))
+        pairs = pairs.unionByName(near.where(F.levenshtein("l.norm", "r.norm", k - 2) >= 0))
+    return pairs
 
 
 def blocks(names: DataFrame, as_: str) -> DataFrame:

@@ -93,3 +93,22 @@ def test_resolved(spark):
 def test_odd_transpositions_count_half():
     assert align.jaro("abcdefgh", "abdecfgh", whole=False) < align.jaro("abcdefgh", "abdecfgh")
     assert round(align.jaro("martha", "marhta", whole=False), 4) == 0.9444
+
+
+def test_names_of_the_same_digits_do_not_all_meet(spark):
+    """720 names of the same six digits in every order: fewer than a tenth of their pairs are made, and none is missed."""
+    import itertools
+
+    listed = [(k, f"customer 000{''.join(p)}") for k, p in enumerate(itertools.permutations("123456"))]
+    found = names.alike(spark.createDataFrame(listed, "id long, norm string"))
+    got = {(r.a, r.b) for r in found.collect()}
+    assert got == {(a, b) for (a, x), (b, y) in itertools.combinations(listed, 2) if align.winkler(x, y) >= 0.98} and got
+    pairs = len(listed) * (len(listed) - 1) // 2
+    assert names.made_pairs(spark.createDataFrame(listed, "id long, norm string")).count() < pairs / 10
+
+
+def test_pairs_aligned_together_are_those_aligned_alone():
+    draw = random.Random(8)
+    a, b = ([None if draw.random() < 0.02 else "".join(draw.choices("ab\0é\U0001f600", k=draw.choice([0, 1, 3, 8, 19]))) for _ in range(2_000)] for _ in range(2))
+    for whole in (True, False):
+        assert align.winklers(a, b, whole) == [None if x is None or y is None else align.winkler(x, y, whole=whole) for x, y in zip(a, b)]
