@@ -55,3 +55,16 @@ def test_the_time_filter_reaches_the_source(spark, tmp_path):
     finally:
         spark.conf.set(paged.PUSHDOWN, "false")
     assert paged.read_feed(spark, f"file://{tmp_path}", kind="json", since="2024-01-25", fields='{"external_id": "id"}').count() == 4
+
+
+def test_many_pages_take_few_tasks_and_one_listing(spark, tmp_path, monkeypatch):
+    for k in range(paged.MOST_TASKS * 2 + 1):
+        (tmp_path / f"page-{k}.json").write_text(json.dumps({"external_id": k}))
+    rows = paged.read_feed(spark, f"file://{tmp_path}", kind="json")
+    assert rows.rdd.getNumPartitions() <= paged.MOST_TASKS
+    assert sorted((int(r.external_id), r.page) for r in rows.collect()) == [(k, k) for k in range(paged.MOST_TASKS * 2 + 1)]
+    # A task lists nothing but what is in its pages' folders.
+    reader = paged.BatchReader({"location": f"file://{tmp_path}", "kind": "json"})
+    parts = reader.partitions()
+    monkeypatch.setattr(paged.fs, "FileSelector", lambda *a, **k: 1 / 0)
+    assert sum(len(list(reader.read(p))) for p in parts) == paged.MOST_TASKS * 2 + 1
